@@ -42,6 +42,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any store that Hadoop knows."""
     jvm = spark.sparkContext._jvm

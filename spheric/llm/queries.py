@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spheric.llm import decontaminate
+from spheric.llm import decontaminate, simhash
 
 OP1_SQL = r"""
 WITH items AS (
@@ -27,5 +27,8 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": decontaminate.op1}
+QUERIES = {
+    "op1_decontamination": decontaminate.op1,
+    "op10_simhash": simhash.op10,
+}
 ORACLES = {"op1_decontamination": OP1_SQL}
