@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spheric.llm import decontaminate, simhash, toxicity
+from spheric.llm import bpe, decontaminate, simhash, tokenbin, toxicity
 
 OP1_SQL = r"""
 WITH items AS (
@@ -30,6 +30,8 @@ FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 QUERIES = {
     "op1_decontamination": decontaminate.op1,
     "op2_toxicity": toxicity.op2,
+    "op3_bpe": bpe.op3,
+    "op6_tokenbin": tokenbin.op6,
     "op10_simhash": simhash.op10,
 }
 ORACLES = {"op1_decontamination": OP1_SQL}
