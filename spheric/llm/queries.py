@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spheric.llm import bpe, decontaminate, quality, shards, simhash, tokenbin, toxicity, urls, warc
+from spheric.llm import bpe, decontaminate, pii, quality, shards, simhash, tokenbin, toxicity, urls, warc
 
 OP1_SQL = r"""
 WITH items AS (
@@ -98,6 +98,7 @@ QUERIES = {
     "op6_tokenbin": tokenbin.op6,
     "op7_quality": quality.op7,
     "op8_urls": urls.op8,
+    "op9_pii": pii.op9,
     "op10_simhash": simhash.op10,
 }
 ORACLES = {"op1_decontamination": OP1_SQL, "op4_warc": OP4_SQL, "op5_shards": OP5_SQL, "op7_quality": OP7_SQL, "op8_urls": OP8_SQL}
