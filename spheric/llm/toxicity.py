@@ -168,9 +168,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", in
     return docs.withColumn(into, toxicity(fit(docs, labels, text=text, **options), docs.sparkSession)(F.col(text).cast("string")))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, text: str = "text", **options) -> DataFrame:
-    """docs that score below threshold, with their own columns."""
-    score = toxicity(fit(docs, labels, text=text, **options), docs.sparkSession)
+def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, *, model: Model | None = None, threshold: float = 0.5, text: str = "text", **options) -> DataFrame:
+    """docs that score below threshold, with their own columns; the model is fitted on docs and labels unless given."""
+    score = toxicity(model or fit(docs, labels, text=text, **options), docs.sparkSession)
     return docs.where(score(F.col(text).cast("string")) < threshold)
 
 
