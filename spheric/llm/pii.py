@@ -69,7 +69,7 @@ def luhn(number: Column) -> Column:
 
 def valid(kind: str, match: Column) -> Column:
     if kind == "ip":
-        parts = F.transform(F.split(match, r"\."), lambda x: F.regexp_replace(x, "^0+", ""))
+        parts = F.transform(F.split(match, r"\."), lambda x: F.regexp_replace(x, "^0+(?=[0-9])", ""))
         return F.forall(parts, lambda x: (F.length(x) <= 3) & (F.coalesce(F.when(F.length(x) <= 3, x).cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         n = F.length(digits(match))
