@@ -128,17 +128,17 @@ def find_pii(docs: DataFrame, *, text: str = "text", into: str = "pii", confiden
 
     Each text is searched once and what was found is kept in the shared folder, which all later steps read.
     """
-    row, base, tokens = (fresh(docs, x) for x in ("row", "base", "tokens"))
+    row, base, tokens, added = (fresh(docs, x) for x in ("row", "base", "tokens", "added"))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     held = stored(docs.withColumns({base: base_spans(t), tokens: candidates(t), row: F.monotonically_increasing_id()}), "spans")
     new = new_spans(held.select(F.col(row).alias("row"), F.col(base).alias("base"), F.col(tokens).alias("tokens")), confidence, support, turns)
-    both = held.join(new.withColumnRenamed("row", "__new_row"), F.col(row) == F.col("__new_row"), "left")
-    spans = F.sort_array(F.concat(F.col(base), F.coalesce(F.col("__new"), F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    return both.withColumn(into, spans).select(*[held[c] for c in docs.columns if c.lower() != into.lower()], into)
+    both = held.join(new.select(F.col("row").alias(row), F.col("spans").alias(added)), row, "left")
+    spans = F.sort_array(F.concat(F.col(base), F.coalesce(F.col(added), F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    return both.withColumn(into, spans).select(*[c for c in docs.columns if c.lower() != into.lower()], into)
 
 
 def new_spans(held: DataFrame, confidence: float, support: int, turns: int) -> DataFrame:
-    """Rows (row, __new) of the tokens that patterns of confidence find beyond the base spans."""
+    """Rows (row, spans) of the tokens that patterns of confidence find beyond the base spans."""
     each = held.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("x"), "base")
     hits = lambda s: (s["start"] < F.col("x.end")) & (s["end"] > F.col("x.start"))
     each = each.select("row", "x", F.exists("base", hits).cast("long").alias("seed"), shape(F.col("x.match")).alias("shape"))
@@ -146,7 +146,7 @@ def new_spans(held: DataFrame, confidence: float, support: int, turns: int) -> D
     edges = stored(named.groupBy("pattern", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum("seed").alias("seeds")), "edges")
     good = score_patterns(edges, turns=turns).where((F.col("confidence") >= confidence) & (F.col("support") >= support) & (F.col("score") >= confidence)).select("pattern", "shape")
     found = named.where("seed = 0").join(good, ["pattern", "shape"], "left_semi")
-    return found.groupBy("row").agg(F.array_distinct(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("__new"))
+    return found.groupBy("row").agg(F.array_distinct(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("spans"))
 
 
 def _patterns(x: Column) -> Column:
