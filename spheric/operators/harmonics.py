@@ -158,3 +158,20 @@ def spin_spectra(alm: str) -> str:
     """map_id, spectrum (EE, BB, EB), l, cl."""
     kinds = (("EE", "e_re * e_re + e_im * e_im"), ("BB", "b_re * b_re + b_im * b_im"), ("EB", "e_re * b_re + e_im * b_im"))
     return "(" + " union all ".join(f"select map_id, '{k}' as spectrum, l, sum((case when m = 0 then 1 else 2 end) * ({x})) / (2 * l + 1) as cl from {alm} _a group by map_id, l" for k, x in kinds) + ")"
+
+
+def ring_fft(samples: DataFrame, mmax: int) -> DataFrame:
+    """map_id, ring_id, m, re, im as of ring_dft, one group for each ring: a fast transform where the ring's longitudes are even around the circle, the direct sum elsewhere."""
+
+    def transform(table: pa.Table) -> pa.Table:
+        phi, value = (table.column(c).to_numpy() for c in ("phi", "value"))
+        order = np.argsort(phi, kind="stable")
+        phi, value, n, m = phi[order], value[order], len(phi), np.arange(mmax + 1)
+        if n > 1 and np.ptp(np.diff(phi)) < 1e-10 and abs(phi[1] - phi[0] - 2 * np.pi / n) < 1e-10:
+            f = np.fft.fft(value)[m % n] * np.exp(-1j * m * phi[0])
+        else:
+            f = np.exp(-1j * np.outer(m, phi)) @ value
+        same = lambda c: pa.array(np.full(mmax + 1, table.column(c)[0].as_py()))
+        return pa.table({"map_id": same("map_id"), "ring_id": same("ring_id"), "m": pa.array(m), "re": pa.array(f.real), "im": pa.array(f.imag)})
+
+    return samples.select("map_id", "ring_id", "phi", "value").groupBy("map_id", "ring_id").applyInArrow(transform, "map_id long, ring_id long, m long, re double, im double")

@@ -18,6 +18,7 @@ from spheric.operators import interpolate as ip
 from spheric.operators import morphology as mo
 from spheric.operators import multires as mr
 from spheric.operators import quadrature as qd
+from spheric.operators import resample as rs
 from spheric.operators import spectra as sp
 from spheric.plans.sql import DUCK, SPARK, rounded
 from spheric.sources import adapters as ad
@@ -124,7 +125,7 @@ register("anafast_cross", lambda d: select(f"l, {R('cl')}", h.spectrum(ALM(d), A
 BATCH = ad.samples(ad.sky(LI, N, key="cast(l_linenumber as bigint)"), N)
 register("anafast_batch", lambda d: select(f"map_id, l, {R('cl')}", h.spectrum(ALM(d, BATCH))))
 register("alm_filter_lowpass", lambda d: select(f"cell_id, {R('value')}", h.alm2map(h.filtered(ALM(d), 3), "@plm_4_4@", CELLS)))
-register("regrid_latlon_to_healpix", lambda d: select(f"cell_id, {R('value')}", h.alm2map(ALM(d), "@plm_8_4@", grid.cells(8))))
+register("regrid_latlon_to_grid", lambda d: select(f"cell_id, {R('value')}", h.alm2map(ALM(d), "@plm_8_4@", grid.cells(8))))
 register("patch_pseudo_cl", lambda d: select(f"l, {R('cl')}", h.spectrum(ALM(d, ad.samples(PARTIAL, N)))))
 BINS = "(select l, cast(floor(l / 2) as bigint) as band, 0.5e0 as w from range(0, 5) as _r(l))"
 register("bandpowers", lambda d: select(f"band, {R('power')}", h.bandpowers(h.spectrum(ALM(d)), BINS)))
@@ -215,6 +216,26 @@ def curl_div(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["curl_div"] = curl_div
 
 
+register("ring_fft", lambda d: select(f"ring_id, m, {R('re', 'im')}", h.ring_dft(SMP, 8, d)))
+
+
+def ring_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transforms of ring_dft by the fast path; its twin is the direct sum."""
+    return spark.sql(select(f"ring_id, m, {R('re', 'im')}", "{f}"), f=h.ring_fft(frames(spark, sf_dir, f"select * from {SMP} _s"), 8))
+
+
+QUERIES["ring_fft"] = ring_fft
+
+
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' values on a grid through a triangulation."""
+    points = frames(spark, sf_dir, f"select cast(0 as bigint) as map_id, lat, lon, value from {SCATTER} _s")
+    return rs.resample_linear(points, 12, 16)
+
+
+QUERIES["resample_linear"] = resampled
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The power spectrum of the line items' map at nside 8, up to l = 8."""
     smp = ad.samples(ad.sky(LI, 8), 8)

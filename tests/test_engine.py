@@ -169,3 +169,17 @@ def test_gauges():
 def test_rectangle_rows_are_full():
     r = rows(ip.rectangle(8, 20, -10, 60, 50))
     assert r.groupby("row").size().nunique() == 1 and not r[["row", "col"]].duplicated().any()
+
+
+def test_triangulation_is_exact_on_planes():
+    from spheric.operators.resample import linear, triangulate
+
+    rng = np.random.default_rng(5)
+    p = rng.uniform(size=(80, 2))
+    t = triangulate(p)
+    area = sum(abs(np.linalg.det(np.column_stack([p[b] - p[a], p[c] - p[a]]))) / 2 for a, b, c in t)
+    assert 0.8 < area <= 1
+    inside = rng.uniform(0.3, 0.7, (50, 2))
+    assert np.allclose(linear(p, 3 * p[:, 0] - 2 * p[:, 1] + 1, inside), 3 * inside[:, 0] - 2 * inside[:, 1] + 1)
+    far = linear(p, p[:, 0], np.array([[9.0, 9.0]]))
+    assert far[0] == pytest.approx(p[:, 0].mean())
