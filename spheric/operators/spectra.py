@@ -21,6 +21,11 @@ def row_shift(image: str, shifts: str) -> str:
     return f"(select img_id, i.row, col, (1 - s) * value + s * {before} as value from {image} i join {shifts} s on i.row = s.row)"
 
 
+def phase_shift(x0: str, frequency: str) -> tuple[str, str]:
+    """The real and imaginary part of exp(2 pi i f x0), by which a shift of x0 turns the mode of that frequency."""
+    return f"cos(2 * {g.PI} * {frequency} * {x0})", f"sin(2 * {g.PI} * {frequency} * {x0})"
+
+
 def radial_bins(n_rows: int, n_cols: int, dx: float = 1.0) -> str:
     """ky, kx, bin, f_center: bins from 0 of equal width up to the largest frequency, whose own corner falls beyond the last and is left out."""
     bins = min(n_rows, n_cols) // 2

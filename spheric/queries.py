@@ -178,6 +178,7 @@ TH = "(select t / 2.0e0 - 0.5e0 as threshold from range(0, 4) as _t(t))"
 register("minkowski_2d", lambda d: select(f"img_id, {R('w0', 'w1', 'w2')}", mo.functionals(IMG(d), "(select 0.0e0 as threshold)", 8)))
 register("minkowski_curves", lambda d: select(f"img_id, threshold, {R('w0', 'w1', 'w2')}", mo.functionals(IMG(d), TH, 8)))
 register("minkowski_sphere", lambda d: select(f"threshold, {R('w0', 'w1', 'w2')}", mo.sphere_functionals(f"(select map_id, cell_id, (value - 38) / 4 as value from {SKY} _s)", TH, N)))
+register("minkowski_sphere_cliques", lambda d: select(f"threshold, {R('w0', 'w1', 'w2')}", mo.sphere_functionals(f"(select map_id, cell_id, (value - 38) / 4 as value from {ad.sky(LI, 2)} _s)", TH, 2, euler="cliques")))
 
 # Series
 MONTHLY = f"(select {g.mod('o_custkey', 48)} as cell_id, cast(extract(year from o_orderdate) as bigint) as y, cast(extract(month from o_orderdate) as bigint) as mon, avg(o_totalprice) / 1000 as value from {OR} _o group by 1, 2, 3)"

@@ -183,3 +183,13 @@ def test_triangulation_is_exact_on_planes():
     assert np.allclose(linear(p, 3 * p[:, 0] - 2 * p[:, 1] + 1, inside), 3 * inside[:, 0] - 2 * inside[:, 1] + 1)
     far = linear(p, p[:, 0], np.array([[9.0, 9.0]]))
     assert far[0] == pytest.approx(p[:, 0].mean())
+
+
+@pytest.mark.parametrize("euler,want", [("triangles", (192 - 4) / 192), ("cliques", 2 / 192)])
+def test_euler_number_of_the_sphere(euler, want):
+    sky = "(select 0 as map_id, range as cell_id, 1e6 as value from range(192))"
+    assert rows(mo.sphere_functionals(sky, "(select 0.5e0 as threshold)", 4, euler=euler)).w2.item() == pytest.approx(want)
+
+
+def test_phase_shift():
+    assert db.sql("select " + ", ".join(sp.phase_shift("0.25e0", "1.0e0"))).fetchall()[0] == pytest.approx((0, 1))
