@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spheric.llm.bpe import KEPT_WORDS
+from spheric.llm.bpe import KEPT_WORDS, byte_symbols
 from spheric.llm.common import new_folder, stored
 
 MAGIC = b"SPHSVB1\n"
@@ -41,6 +42,12 @@ LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype
 #: A space between two characters that aren't white space starts a new run; a line feed between such stands alone.
 CLEAN, UNCLEAN, LINE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s").search, re.compile(r"(?<=\S)(\n)(?=\S)")
 
+#: The byte-level vocabulary's own pattern, and the characters that stand for bytes.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+SYMBOLS = dict(enumerate(byte_symbols()))
+#: Runs of these alone are split here and go straight to the library's merges; others take the library's whole way, as its Unicode tables may differ.
+PLAIN = re.compile("[\t-\r -~\xc0-ɏ]*").fullmatch
+
 
 class Kept(dict):
     def __init__(self, make) -> None:
@@ -59,9 +66,13 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
+        pre = json.loads(self.library.to_str())["pre_tokenizer"]
+        if pre != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            raise ValueError(f"{path} isn't a byte-level BPE of the kind this module reads")
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.spaced = Kept(lambda x: self.run(x, " "))  # runs after a space, without it
         self.bare = Kept(lambda x: self.run(x, ""))
 
@@ -69,6 +80,12 @@ class Encoder:
         lines = LINE.split(text) if "\n" in text else [text]
         if len(lines) > 1:
             return (self.spaced if before else self.bare)[lines[0]] + b"".join([self.bare[x] for x in lines[1:]])
+        if PLAIN(text) and not any(x in text for x in self.added):
+            pieces = PATTERN.findall(before + text)
+            if len(pieces) > 1:
+                return b"".join([self.spaced[x[1:]] if x[0] == " " else self.bare[x] for x in pieces])
+            symbols = "".join(pieces).encode().decode("latin-1").translate(SYMBOLS)
+            return np.array([x.id for x in self.library.model.tokenize(symbols)], self.dtype).tobytes()
         return np.array(self.library.encode(before + text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def ids(self, text: str) -> bytes:
