@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,11 +73,14 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.model = self.library.model
         self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.spaced = Kept(lambda x: self.run(x, " "))  # runs after a space, without it
         self.bare = Kept(lambda x: self.run(x, ""))
 
     def run(self, text: str, before: str) -> bytes:
+        if text.isascii() and text.isalpha():  # one piece of the pattern, whose characters stand for themselves
+            return self.merged("Ġ" + text if before else text)
         lines = LINE.split(text) if "\n" in text else [text]
         if len(lines) > 1:
             return (self.spaced if before else self.bare)[lines[0]] + b"".join([self.bare[x] for x in lines[1:]])
@@ -84,10 +88,12 @@ class Encoder:
             pieces = PATTERN.findall(before + text)
             if len(pieces) > 1:
                 return b"".join([self.spaced[x[1:]] if x[0] == " " else self.bare[x] for x in pieces])
-            symbols = "".join(pieces).encode().decode("latin-1").translate(SYMBOLS)
-            return np.array([x.id for x in self.library.model.tokenize(symbols)], self.dtype).tobytes()
+            return self.merged("".join(pieces).encode().decode("latin-1").translate(SYMBOLS))
         return np.array(self.library.encode(before + text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def merged(self, symbols: str) -> bytes:
+        return array(self.dtype.char, [x.id for x in self.model.tokenize(symbols)]).tobytes()
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
