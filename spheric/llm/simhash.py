@@ -269,7 +269,12 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 def component_names(least: DataFrame, radius: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rows (fp, component) from distinct fingerprints (fp, least): the smallest least of all fingerprints within reach."""
     nodes = stored(least, "nodes")
-    roots = components(fingerprint_links(nodes.select("fp"), radius, group_rows))
+    return names_of(nodes, fingerprint_links(nodes.select("fp"), radius, group_rows))
+
+
+def names_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (fp, component) from distinct nodes (fp, least): the smallest least of all nodes within reach over the links (a, b)."""
+    roots = components(links)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "root")
     smallest = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
     return rooted.join(smallest, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))

@@ -1,0 +1,145 @@
+"""Near copies by shingle similarity: sets of word shingles, candidates by bands of minima, then each pair's exact Jaccard similarity.
+
+Texts with equal sets are one node. Nodes that share a band's key, directly or over others, make a cluster, and only within
+clusters are sets compared, all pairs that aren't joined already. A pair at the similarity itself shares no key with a chance
+of (1 - similarity ** band_rows) ** bands, 7e-5 by default, and is still found where others hold it in the cluster. A SimHash
+radius for 0.8 would be 16 bits or more, whose blocks of three or four bits tell nothing apart.
+
+Words, cases and short texts are as in simhash: a text of fewer words than a shingle is one shingle, and a null text and texts
+without words have the same empty set. Sets hold 64-bit hashes of shingles. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spheric.llm.common import fresh, stored, text_bytes
+from spheric.llm.simhash import components, names_of, shingle_hashes
+
+#: Characters of text in one block of a cluster. A cluster beyond it is dealt into blocks, and each pair of blocks is compared in a group.
+GROUP_CHARS = 4 << 20
+#: Shingles that are held against all permutations at once.
+RUN = 2048
+
+
+def shingle_set(text: bytes, words: int, seed: int) -> np.ndarray:
+    """The distinct hashes of the shingles, sorted."""
+    return np.unique(shingle_hashes(text, words, seed))
+
+
+def minima(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The least value of the set under each of the permutations."""
+    least = np.full(len(factors), ~np.uint64(0))
+    for i in range(0, len(hashes), RUN):
+        np.minimum(least, (factors[:, None] * hashes[None, i : i + RUN] + offsets[:, None]).min(1), out=least)
+    return least
+
+
+def signature(words: int, bands: int, band_rows: int, seed: int):
+    """A column function: the digest of a text's shingle set as node, and a key for each band."""
+    rng = np.random.default_rng(seed)
+    factors, offsets = rng.integers(0, 1 << 64, (2, bands * band_rows), np.uint64)
+    factors |= np.uint64(1)
+
+    @F.arrow_udf("struct<node: long, keys: array<long>>")
+    def sign(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in (part[i : i + RUN] for part in parts for i in range(0, len(part), RUN)):
+            data, at = text_bytes(column)
+            text = memoryview(data)
+            nodes, keys = np.zeros(len(column), np.uint64), np.zeros((len(column), bands), np.uint64)
+            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                own = shingle_set(bytes(text[a:b]), words, seed)
+                nodes[i] = xxhash.xxh64_intdigest(own.tobytes(), seed)
+                least = minima(own, factors, offsets).reshape(bands, band_rows)
+                keys[i] = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
+            yield pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), lists], ["node", "keys"])
+
+    return sign
+
+
+def shingle_bytes(words: int, seed: int):
+    """A column function: a text's shingle set as bytes."""
+
+    @F.arrow_udf("binary")
+    def sets(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in (part[i : i + RUN] for part in parts for i in range(0, len(part), RUN)):
+            data, at = text_bytes(column)
+            text = memoryview(data)
+            yield pa.array([shingle_set(bytes(text[a:b]), words, seed).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+
+    return sets
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join up just what a comparison of all pairs of these sets would. Empty sets are not compared."""
+    order = sorted((i for i, s in enumerate(sets) if len(s)), key=lambda i: len(sets[i]))  # by size, so that those large enough to differ too much come last
+    if len(order) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.array([len(sets[i]) for i in order])
+    values, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    label, mark, left, right = np.arange(len(order)), np.zeros(len(values), np.int32), [], []
+    for t in range(len(order) - 1):
+        end = int(np.searchsorted(sizes, sizes[t] / similarity + 1e-9, "right"))
+        rows = t + 1 + np.flatnonzero(label[t + 1 : end] != label[t])
+        if not len(rows):
+            continue
+        mark[own[t]] = 1
+        both = np.add.reduceat(mark[np.concatenate([own[i] for i in rows])], np.cumsum(sizes[rows]) - sizes[rows])
+        mark[own[t]] = 0
+        near = rows[both >= similarity * (sizes[t] + sizes[rows] - both) - 1e-9]
+        names, first = np.unique(label[near], return_index=True)
+        left += [order[t]] * len(names)
+        right += [order[i] for i in near[first]]
+        label[np.isin(label, names)] = label[t]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def candidate_clusters(nodes: DataFrame) -> DataFrame:
+    """Rows (node, root) of the nodes (node, keys) that share a key with another: root is the same within reach."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return components(keyed.join(shared, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+
+
+def similar_links(texts: DataFrame, clusters: DataFrame, *, words: int, similarity: float, seed: int, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """Links (a, b) between nodes of texts (node, text) that lead from each to all it reaches over pairs of the similarity, within its cluster (node, root, chars)."""
+    counts = clusters.groupBy("root").agg(F.sum("chars").alias("chars"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("chars") / F.lit(group_chars)).cast("int"))
+    placed = clusters.select("node", "root").join(counts, "root").select("node", "root", blocks.alias("blocks"))
+    sets = texts.join(placed, "node").select("node", "root", "blocks", shingle_bytes(words, seed)(F.col("text")).alias("hashes"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = sets.select("node", "root", "hashes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    grouped = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node", "hashes")
+
+    def compare(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        a, b = similar([np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()], similarity)
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+
+    return grouped.groupBy("group").applyInArrow(compare, "a long, b long").distinct()
+
+
+def drop_similar(
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, seed: int = 42, bands: int = 24, band_rows: int = 5, group_chars: int = GROUP_CHARS
+) -> DataFrame:
+    """docs with one row of each component of similar texts: that of the smallest id, of repeated ids one row; a row without an id stays only where its component has no id."""
+    sign, row = fresh(docs, "sign"), fresh(docs, "row")
+    full = stored(docs.withColumns({sign: signature(words, bands, band_rows, seed)(F.col(text).cast("string")), row: F.monotonically_increasing_id()}), "documents")
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row")))
+    nodes = stored(full.groupBy(F.col(f"{sign}.node").alias("node")).agg(first.alias("least"), F.first(F.col(f"{sign}.keys")).alias("keys"), F.max(F.length(F.col(text).cast("string"))).cast("long").alias("chars")), "nodes")
+    clusters = stored(candidate_clusters(nodes.select("node", "keys")).join(nodes.select("node", "chars"), "node"), "clusters")
+    shown = stored(nodes.join(clusters, "node", "left_semi").select(F.col("least.row").alias(row), "node"), "shown")
+    texts = full.select(row, F.col(text).cast("string").alias("text")).join(shown, row).select("node", "text")
+    links = similar_links(texts, clusters, words=words, similarity=similarity, seed=seed, group_chars=group_chars)
+    named = names_of(nodes.select(F.col("node").alias("fp"), "least"), links).select(F.col("fp").alias("node"), F.col("component.row").alias("stays"))
+    # the rows that go are few, and stored their size is known, so that the texts need not be shuffled to meet them
+    gone = stored(full.select(row, F.col(f"{sign}.node").alias("node")).join(named, "node").where(F.col(row) != F.col("stays")).select(row), "gone")
+    return full.join(gone, row, "left_anti").select(*[full[c] for c in docs.columns])
