@@ -99,17 +99,37 @@ def bandpowers(cl: str, bins: str) -> str:
 # Spin
 
 
-def wigner_y(s: int, l: int, m: int, theta: np.ndarray) -> np.ndarray:
-    """sY_lm(theta, 0) = (-1)^s sqrt((2l+1)/4pi) d^l_{m,-s}(theta), by the finite sum; for l up to about 20."""
-    from math import factorial as f
+def spin_legendre(s: int, m: int, lmax: int, theta: np.ndarray) -> np.ndarray:
+    """sY_lm(theta, 0) = (-1)^s sqrt((2l+1)/4pi) d^l_{m,-s}(theta) for l = |m|..lmax, by the three-term recurrence in l with its seed in logarithms, as in legendre(); zeros for l < |s|."""
+    from math import lgamma
 
-    out, n = np.zeros_like(theta), -s
-    if l < max(abs(m), abs(n)):
+    theta, n, low = np.asarray(theta, float), -s, max(abs(m), abs(s))
+    out = np.zeros((max(0, lmax - abs(m) + 1), len(theta)))
+    if lmax < low:
         return out
-    c, si = np.cos(theta / 2), np.sin(theta / 2)
-    for k in range(max(0, n - m), min(l + n, l - m) + 1):
-        out += (-1) ** (k + m - n) * c ** (2 * l - 2 * k + n - m) * si ** (2 * k - n + m) / (f(l + n - k) * f(k) * f(l - k - m) * f(k - n + m))
-    return (-1) ** s * np.sqrt((2 * l + 1) / (4 * np.pi) * f(l + m) * f(l - m) * f(l + n) * f(l - n)) * out
+    f = lambda x: lgamma(x + 1)
+    k = max(0, n - m)  # at l = max(|m|, |s|) the finite sum has this term alone
+    pc, ps = 2 * low - 2 * k + n - m, 2 * k - n + m
+    seed = np.full(len(theta), 0.5 * (f(low + m) + f(low - m) + f(low + n) + f(low - n)) - f(low + n - k) - f(k) - f(low - k - m) - f(k - n + m))
+    for power, x in ((pc, np.cos(theta / 2)), (ps, np.sin(theta / 2))):
+        if power:
+            seed += power * np.log(np.maximum(x, 1e-300))
+    x, scale = np.cos(theta), np.minimum(0.0, seed + 300.0)
+    a, b = np.zeros_like(x), (-1.0) ** (k + m - n + s) * np.exp(seed - scale)
+    for l in range(low, lmax + 1):
+        out[l - abs(m)] = np.sqrt((2 * l + 1) / (4 * np.pi)) * b * np.exp(scale)
+        up = np.sqrt(float((l + 1) ** 2 - m * m) * float((l + 1) ** 2 - n * n))
+        down = np.sqrt(float(l * l - m * m) * float(l * l - n * n)) * (l + 1) / l if l > low else 0.0
+        a, b = b, ((2 * l + 1) * ((l + 1) * x - (m * n / l if l else 0.0)) * b - down * a) / up
+        big = np.abs(b) > 1e200
+        if big.any():
+            a, b, scale = np.where(big, a * 1e-200, a), np.where(big, b * 1e-200, b), np.where(big, scale + 200 * np.log(10), scale)
+    return out
+
+
+def wigner_y(s: int, l: int, m: int, theta: np.ndarray) -> np.ndarray:
+    """sY_lm(theta, 0), zero for l below |m| or |s|."""
+    return spin_legendre(s, m, l, theta)[-1] if l >= abs(m) else np.zeros_like(theta)
 
 
 def spin_table(rings: DataFrame, lmax: int, spin: int) -> DataFrame:
@@ -123,9 +143,9 @@ def spin_table(rings: DataFrame, lmax: int, spin: int) -> DataFrame:
             for m in np.unique(ms):
                 own = ms == m
                 theta = np.arccos(z[own])
-                for l in range(int(m), lmax + 1):
-                    n = int(own.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.full(n, l)), pa.array(np.full(n, m)), pa.array(wigner_y(spin, l, int(m), theta)), pa.array(wigner_y(-spin, l, int(m), theta))], ["ring_id", "l", "m", "yp", "ym"])
+                yp, ym = (spin_legendre(x, int(m), lmax, theta) for x in (spin, -spin))
+                l = np.repeat(np.arange(m, lmax + 1), own.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids[own], len(yp))), pa.array(l), pa.array(np.full(yp.size, m)), pa.array(yp.ravel()), pa.array(ym.ravel())], ["ring_id", "l", "m", "yp", "ym"])
 
     spark = rings.sparkSession
     keyed = rings.select("ring_id", "z").crossJoin(spark.range(lmax + 1).withColumnRenamed("id", "m"))

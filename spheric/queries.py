@@ -190,31 +190,41 @@ register("masked_rmse_corr", lambda d: select("cell_id, " + rounded("sqrt(avg(de
 
 
 # Spin: beyond the twin's finite sums
-def _spin(spark: SparkSession, sf_dir: str, spin: int, text: str) -> DataFrame:
-    table = h.spin_table(spark.sql(f"select ring_id, z from {grid.rings(N)} _r"), L, spin)
+def _spin(spark: SparkSession, sf_dir: str, spin: int, text: str, nside: int = N, lmax: int = L) -> DataFrame:
+    table = h.spin_table(spark.sql(f"select ring_id, z from {grid.rings(nside)} _r"), lmax, spin)
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return spark.sql(text, lineitem=lineitem, table=table)
 
 
-VEC = f"(select v.map_id, c.ring_id, c.phi, v.q, v.u from {ad.vector_sky('{lineitem}', N)} v join {CELLS} c on v.cell_id = c.cell_id)"
-W = f"(4 * {g.PI} / {12 * N * N})"
-EB = h.map2alm_spin(VEC, "{table}", L, 2, W)
-QUERIES["spin2_eb"] = lambda spark, sf_dir: _spin(spark, sf_dir, 2, select(f"l, m, {R('e_re', 'e_im', 'b_re', 'b_im')}", EB))
-QUERIES["spin2_qu"] = lambda spark, sf_dir: _spin(spark, sf_dir, 2, select(f"cell_id, {R('q', 'u')}", h.alm2map_spin(EB, "{table}", CELLS, 2)))
-QUERIES["spin_spectra"] = lambda spark, sf_dir: _spin(spark, sf_dir, 2, select(f"spectrum, l, {R('cl')}", h.spin_spectra(EB)))
+def _vectors(nside: int) -> tuple[str, str]:
+    """The vector samples and the weight of a cell."""
+    vec = f"(select v.map_id, c.ring_id, c.phi, v.q, v.u from {ad.vector_sky('{lineitem}', nside)} v join {grid.cells(nside)} c on v.cell_id = c.cell_id)"
+    return vec, f"(4 * {g.PI} / {12 * nside * nside})"
 
 
-def curl_div(spark: SparkSession, sf_dir: str) -> DataFrame:
+def curl_div(spark: SparkSession, sf_dir: str, nside: int = N, lmax: int = L) -> DataFrame:
     """The divergence and curl maps of (u, v) = (q, u): the E and B of (-v, u) at spin 1, each back as a scalar map."""
-    turned = f"(select map_id, ring_id, phi, -u as q, q as u from {VEC} _v)"
-    eb = _spin(spark, sf_dir, 1, select("*", h.map2alm_spin(turned, "{table}", L, 1, W)))
-    plm = h.legendre_table(spark.sql(f"select ring_id, z from {grid.rings(N)} _r"), L)
+    (vec, w), cells = _vectors(nside), grid.cells(nside)
+    turned = f"(select map_id, ring_id, phi, -u as q, q as u from {vec} _v)"
+    eb = _spin(spark, sf_dir, 1, select("*", h.map2alm_spin(turned, "{table}", lmax, 1, w)), nside, lmax)
+    plm = h.legendre_table(spark.sql(f"select ring_id, z from {grid.rings(nside)} _r"), lmax)
     e, b = ("(select map_id, l, m, {0}_re as re, {0}_im as im from {{eb}} _e)".format(k) for k in "eb")
-    text = f"select d.cell_id, {rounded('d.value')} as div, {rounded('c.value')} as curl from {h.alm2map(e, '{plm}', CELLS)} d join {h.alm2map(b, '{plm}', CELLS)} c on d.map_id = c.map_id and d.cell_id = c.cell_id"
+    text = f"select d.cell_id, {rounded('d.value')} as div, {rounded('c.value')} as curl from {h.alm2map(e, '{plm}', cells)} d join {h.alm2map(b, '{plm}', cells)} c on d.map_id = c.map_id and d.cell_id = c.cell_id"
     return spark.sql(text, eb=eb, plm=plm)
 
 
-QUERIES["curl_div"] = curl_div
+def _register_spin(suffix: str, nside: int, lmax: int) -> None:
+    vec, w = _vectors(nside)
+    eb = h.map2alm_spin(vec, "{table}", lmax, 2, w)
+    run = lambda text: lambda spark, sf_dir: _spin(spark, sf_dir, 2, text, nside, lmax)
+    QUERIES[f"spin2_eb{suffix}"] = run(select(f"l, m, {R('e_re', 'e_im', 'b_re', 'b_im')}", eb))
+    QUERIES[f"spin2_qu{suffix}"] = run(select(f"cell_id, {R('q', 'u')}", h.alm2map_spin(eb, "{table}", grid.cells(nside), 2)))
+    QUERIES[f"spin_spectra{suffix}"] = run(select(f"spectrum, l, {R('cl')}", h.spin_spectra(eb)))
+    QUERIES[f"curl_div{suffix}"] = lambda spark, sf_dir: curl_div(spark, sf_dir, nside, lmax)
+
+
+_register_spin("", N, L)
+_register_spin("_32", 32, 95)
 
 
 register("ring_fft", lambda d: select(f"ring_id, m, {R('re', 'im')}", h.ring_dft(SMP, 8, d)))

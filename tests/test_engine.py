@@ -117,6 +117,16 @@ def test_spin_harmonics_are_orthonormal(spin):
     assert not h.wigner_y(2, 1, 0, np.arccos(x)).any()
 
 
+@pytest.mark.parametrize("spin", [0, 1, 2, -1, -2])
+def test_spin_harmonics_are_orthonormal_up_to_191(spin):
+    x, w = np.polynomial.legendre.leggauss(192)
+    for m in (0, 1, 2, 3, 60, 130, 191):
+        y = h.spin_legendre(spin, m, 191, np.arccos(x))[max(0, abs(spin) - m) :]
+        assert np.allclose(2 * np.pi * (y * w) @ y.T, np.eye(len(y)), atol=1e-10)
+        if spin == 0:
+            assert np.allclose(y, h.legendre(x, m, 191), atol=1e-10)
+
+
 def test_smoothing_keeps_constants():
     for norm, want in (("l1", 1.0), ("none", None)):
         s = rows(multires.smooth_stencil(4, norm=norm, dialect=DUCK))

@@ -26,6 +26,11 @@ def test_a_turned_field_swaps_e_and_b(spark):
     assert all(v >= 0 for (k, _), v in spectra.items() if k != "EB") and spectra["EE", 0] == spectra["BB", 1] == 0
 
 
+def test_spin_spectra_are_finite_at_nside_32(spark):
+    spectra = {(r.spectrum, r.l): r.cl for r in queries.QUERIES["spin_spectra_32"](spark, SF).collect()}
+    assert len(spectra) == 3 * 96 and all(0 <= v < 1e3 for (k, _), v in spectra.items() if k != "EB")
+
+
 def test_windowed_sky_streams(spark, tmp_path):
     from spheric.streaming.sky import windowed_sky
 
