@@ -10,9 +10,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spheric import ship
 
 #: Text is scanned in runs of rows of about this many bytes, which bounds a Python worker's memory. A longer text makes a run of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
+#: Rows of a few numbers each, some fifty bytes, that are broadcast at most.
+BROADCAST_ROWS = 1 << 21
+
+
+def shipped(spark: SparkSession | None = None) -> SparkSession:
+    """The session, with this package's modules on its executors."""
+    return ship(spark or SparkSession.active())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +52,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row as the small side of a join: counted, and broadcast up to BROADCAST_ROWS, else shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     have = {c.lower() for c in df.columns}
@@ -76,13 +91,12 @@ def text_runs(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def powers(base: int, n: int, held: dict = {}) -> np.ndarray:  # noqa: B006
-    """base ** 0 .. base ** n modulo 2 ** 64; kept for the next call."""
+    """base ** 0 .. base ** n modulo 2 ** 64; kept for the next call if they are few."""
     have = held.get(base)
     if have is None or len(have) <= n:
-        size = max(n + 1, 1 << 16)
-        held[base] = have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)]), dtype=np.uint64)
-        if len(held) > 8:
-            held.pop(next(iter(held)))
+        have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 16), base, np.uint64)]), dtype=np.uint64)
+        if n <= 1 << 18 and len(held) < 8:
+            held[base] = have
     return have
 
 

@@ -1,15 +1,24 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked when few bits differ, grouped by reach.
 
-Candidates share some blocks of their bits (which no pair within the radius can avoid), and are then compared bit-sliced:
-bit planes stand vertically, one lane a pair, and carry-save counters add up the differing bits of all lanes at once.
+Candidates are compared bit-sliced: bit planes stand vertically, one lane a pair, and carry-save counters add up the
+differing bits of all lanes at once; a block of lanes is left once all are past the radius.
+
+Which fingerprints are candidates depends on the radius. A small one (2 by default) is searched without loss: candidates
+share some blocks of their bits, which no pair within the radius can avoid. A similarity of shingle sets, given instead,
+sets a wide radius (24 bits for 0.8, see radius_of), whose blocks of two or three bits would tell nothing apart; there
+candidates share a band of minima of their sets. What the fingerprints link is then compared exactly, set by set, so the
+fingerprints only save comparisons. A pair at the similarity itself is missed by all bands with a chance of
+(1 - similarity ** band_rows) ** bands, 7e-5 by default, and still found where others hold it in its component.
 
 A null text counts as an empty one. A text of fewer words than a shingle is one shingle; one without words has the
-fingerprint zero, which links like any other. Equal fingerprints are one node, so exact copies never pair up, and rows
-that repeat or have no id just share their fingerprint's group. An empty table gives an empty result.
+fingerprint zero, which links like any other (and, of sets, is equal to the empty set alone). Equal fingerprints, or sets,
+are one node, so exact copies never pair up, and rows that repeat or have no id just share their node's group. A text of
+any length is taken whole. An empty table gives an empty result; further columns, of any name, pass unchanged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,24 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spheric.llm.common import fresh, new_folder, remove_folder, stored, text_bytes
+from spheric.llm.common import fresh, shipped, sized, stored, text_bytes
+from spheric.llm.graph import components, names_of
+from spheric.llm.shingles import RUN, minima, shingle_bytes, shingle_hashes, shingle_set, similar
 
 BITS = 64
 #: Fingerprints that are compared in one group at most, twice over; groups beyond it are compared block by block.
 GROUP_ROWS = 2048
-#: A-Z become a-z, and space, tab, line feed, vertical tab, form feed and carriage return part words.
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
-
-def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
-    """XXH64 of every shingle, repeats included."""
-    parts = text.translate(LOWER).split()  # bytes split at just these six
-    if len(parts) <= words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), seed)] if parts else [], np.uint64)
-    joined, h = b" ".join(parts), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    first = np.concatenate([[0], ends[: len(parts) - words]])
-    return np.fromiter((h(joined[a:b], seed) for a, b in zip(first.tolist(), (ends[words - 1 :] - 1).tolist(), strict=True)), np.uint64, len(first))
+#: Of a pair of the similarity so many standard deviations lie between its likely distance and the radius.
+SAFETY = 5
+#: Characters of text in one block of a component whose sets are compared. One beyond it is dealt into blocks, and each pair of blocks is a group.
+GROUP_CHARS = 4 << 20
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -50,6 +52,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprint(words: int = 3, seed: int = 42):
     """A column function: the fingerprint of a text as a signed 64-bit integer."""
+    shipped()
 
     @F.arrow_udf("long")
     def simhash(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -158,26 +161,26 @@ def _linked_large(prints: np.ndarray, radius: int, queries: int = 32) -> tuple[n
 
 
 def _compare(radius: int, batch: int = 1 << 17):
-    """Reads rows (group, fp) sorted by group and yields links; whole groups are gathered to about batch rows."""
+    """Reads rows (group, node, fp) or (group, fp), where fp is the node, sorted by group, and yields links between nodes; whole groups are gathered to about batch rows."""
 
     def links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(groups: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        def work(groups: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
             first = np.concatenate([[True], groups[1:] != groups[:-1]])
             start = np.flatnonzero(first)[np.cumsum(first) - 1]
             a, b = linked(prints.view(np.uint64), start, radius)
-            return pa.RecordBatch.from_arrays([pa.array(prints[a]), pa.array(prints[b])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         rows = 0
         for part in parts:
-            held.append(tuple(part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            held.append(tuple(part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, part.num_columns - 1)))
             rows += part.num_rows
             if rows >= batch:
-                groups, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+                groups, nodes, prints = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = int(np.searchsorted(groups == groups[-1], True)) if groups[0] != groups[-1] else 0
                 if cut:
-                    yield work(groups[:cut], prints[:cut])
-                held, rows = [(groups[cut:], prints[cut:])], len(groups) - cut
+                    yield work(groups[:cut], nodes[:cut], prints[:cut])
+                held, rows = [(groups[cut:], nodes[cut:], prints[cut:])], len(groups) - cut
         if rows:
             yield work(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -196,66 +199,33 @@ def block_keys(fp, radius: int, blocks: int = 0):
     return F.array(*keys)
 
 
-def candidate_groups(prints: DataFrame, radius: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Rows (group, fp) of the distinct fingerprints column fp: groups of two or more that share a key.
+def candidate_groups(keyed: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Rows (group, ...) of the rows (key, ...), whose first other column names a node: groups of two or more that share a key.
 
-    A key of more than group_rows fingerprints is dealt into blocks of about that many, and each pair of blocks makes a
+    A key of more than group_rows rows is dealt into blocks of about that many, and each pair of blocks makes a
     group, so that no group is unbounded and no pair is lost.
     """
-    keyed = prints.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
+    rest = [c for c in keyed.columns if c != "key"]
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = keyed.join(counts, "key")
+    sized_ = keyed.join(counts, "key")
     blocks = F.ceil(F.col("n") / F.lit(group_rows)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    own = F.pmod(F.xxhash64(rest[0]), blocks).cast("int")
     other = F.explode(F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1)))
-    dealt = sized.select("key", "fp", own.alias("own"), other.alias("other"))
-    return dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "fp")
+    dealt = sized_.select("key", *rest, own.alias("own"), other.alias("other"))
+    return dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), *rest)
 
 
-def fingerprint_links(prints: DataFrame, radius: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that lead from each to all within reach of it."""
-    groups = candidate_groups(prints, radius, group_rows)
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.repartition(n, "group").sortWithinPartitions("group", "fp")
+def group_links(groups: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between the nodes of groups that lead, within each, from every node to all in reach of it over fingerprints within radius."""
+    n = int(shipped(groups.sparkSession).conf.get("spark.sql.shuffle.partitions"))
+    dealt = groups.repartition(n, "group").sortWithinPartitions("group", groups.columns[1])
     return dealt.mapInArrow(_compare(radius), "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Rows (node, root) for every node of the links (a, b): root is the smallest node within reach.
-
-    Turns of large stars and small stars: each node's neighbours are hung on the smallest of them, until nothing moves.
-    The links stay on the cluster, and each turn's are written to the shared folder.
-    """
-    spark = links.sparkSession
-    folder = new_folder(spark, "components")
-
-    def written(df: DataFrame, turn: int) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{folder}/{turn}")
-        return spark.read.schema("a long, b long").parquet(f"{folder}/{turn}")
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), 0)  # a > b
-    turn, before = 0, state(edges)
-    while before[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        # large star: the larger neighbours of a node go to the least of its neighbourhood
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node's smaller neighbours and itself go to the least of these
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        turn += 1
-        edges = written(small.where("a <> b").distinct(), turn)
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-        if turn > 1:
-            remove_folder(spark, f"{folder}/{turn - 2}")
-    hung = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return hung.union(hung.select(F.col("root").alias("node"), "root").distinct())
+def fingerprint_links(prints: DataFrame, radius: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints fp that lead from each to all within reach of it."""
+    keyed = prints.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
+    return group_links(candidate_groups(keyed, group_rows), radius)
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 3, seed: int = 42, radius: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -272,22 +242,86 @@ def component_names(least: DataFrame, radius: int, group_rows: int = GROUP_ROWS)
     return names_of(nodes, fingerprint_links(nodes.select("fp"), radius, group_rows))
 
 
-def names_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (fp, component) from distinct nodes (fp, least): the smallest least of all nodes within reach over the links (a, b)."""
-    roots = components(links)
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "root")
-    smallest = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    return rooted.join(smallest, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
+def radius_of(similarity: float) -> int:
+    """Bits in which the fingerprints of sets of that Jaccard similarity may well differ: the share of bits is the angle between the sets over pi, from which SAFETY standard deviations are counted."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return min(BITS, int(BITS * share + SAFETY * math.sqrt(BITS * share * (1 - share))))
+
+
+def signature(words: int, bands: int, band_rows: int, seed: int):
+    """A column function: the digest of a text's shingle set as node, the fingerprint of the set, and a key for each band of its minima."""
+    shipped()
+    rng = np.random.default_rng(seed)
+    factors, offsets = rng.integers(0, 1 << 64, (2, bands * band_rows), np.uint64)
+    factors |= np.uint64(1)
 
+    @F.arrow_udf("struct<node: long, fp: long, keys: array<long>>")
+    def sign(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in (part[i : i + RUN] for part in parts for i in range(0, len(part), RUN)):
+            data, at = text_bytes(column)
+            text = memoryview(data)
+            nodes, prints, keys = np.zeros(len(column), np.uint64), np.zeros(len(column), np.uint64), np.zeros((len(column), bands), np.uint64)
+            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                own = shingle_set(bytes(text[a:b]), words, seed)
+                nodes[i], prints[i] = xxhash.xxh64_intdigest(own.tobytes(), seed), majority(own)
+                least = minima(own, factors, offsets).reshape(bands, band_rows)
+                keys[i] = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
+            yield pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(prints.view(np.int64)), lists], ["node", "fp", "keys"])
+
+    return sign
+
+
+def similar_links(texts: DataFrame, clusters: DataFrame, *, words: int, similarity: float, seed: int, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """Links (a, b) between nodes of texts (node, text) that lead from each to all it reaches over pairs of the similarity, within its cluster (node, root, chars)."""
+    counts = clusters.groupBy("root").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n"))
+    blocks = F.greatest(F.lit(1), F.least("n", F.ceil(F.col("chars") / F.lit(group_chars)))).cast("int")
+    placed = clusters.select("node", "root").join(counts, "root").select("node", "root", blocks.alias("blocks"))
+    sets = texts.join(placed, "node").select("node", "root", "blocks", shingle_bytes(words, seed)(F.col("text")).alias("hashes"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = sets.select("node", "root", "hashes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    grouped = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node", "hashes")
+
+    def compare(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        a, b = similar([np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()], similarity)
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
-def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 3, seed: int = 42, radius: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """docs with one row of each component: that of the smallest id, of repeated ids one row; a row without an id stays only where its component has no id."""
-    fp, row = fresh(docs, "fp"), fresh(docs, "row")
-    full = stored(docs.withColumns({fp: fingerprint(words, seed)(F.col(text).cast("string")), row: F.monotonically_increasing_id()}), "documents")
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row")))
-    named = component_names(full.groupBy(F.col(fp).alias("fp")).agg(first.alias("least")), radius, group_rows)
-    stay = named.select(F.col("component.row").alias(row)).distinct()
-    return full.join(stay, row, "left_semi").select(*[full[c] for c in docs.columns])
+    return grouped.groupBy("group").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _least(doc_id: str, row: str):
+    """Of a node's rows the one that stays: the smallest id, of repeated ids one row; a row without an id only where there is no other."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row")))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 3, seed: int = 42, radius: int = 2, group_rows: int = GROUP_ROWS,
+    similarity: float | None = None, bands: int = 24, band_rows: int = 5, group_chars: int = GROUP_CHARS,
+) -> DataFrame:
+    """docs with one row of each component, within radius of fingerprints or, if given, of a similarity of shingle sets: that of the smallest id, of repeated ids one row; a row without an id stays only where its component has no id.
+
+    Rows that go, and rows whose sets are compared, are joined to the stored texts by a broadcast while they are few, so that texts don't move, else by a shuffle.
+    """
+    sign, row = fresh(docs, "sign"), fresh(docs, "row")
+    t = F.col(text).cast("string")
+    made = signature(words, bands, band_rows, seed)(t) if similarity is not None else F.struct(fingerprint(words, seed)(t).alias("node"))
+    full = stored(docs.withColumns({sign: made, row: F.monotonically_increasing_id()}), "documents")
+    every = full.groupBy(F.col(f"{sign}.node").alias("node"))
+    if similarity is None:
+        nodes = stored(every.agg(_least(doc_id, row).alias("least")), "nodes")
+        links = fingerprint_links(nodes.select(F.col("node").alias("fp")), radius, group_rows)
+    else:
+        nodes = stored(every.agg(_least(doc_id, row).alias("least"), F.first(f"{sign}.fp").alias("fp"), F.first(f"{sign}.keys").alias("keys"), F.max(F.length(t)).cast("long").alias("chars")), "nodes")
+        keyed = nodes.select("node", "fp", F.explode("keys").alias("key"))
+        near = components(group_links(candidate_groups(keyed, group_rows), radius_of(similarity)))
+        clusters = stored(near.join(nodes.select("node", "chars"), "node"), "clusters")
+        shown = stored(nodes.join(clusters, "node", "left_semi").select(F.col("least.row").alias(row), "node"), "shown")
+        texts = full.select(row, t.alias("text")).join(sized(shown), row).select("node", "text")
+        links = similar_links(texts, clusters, words=words, similarity=similarity, seed=seed, group_chars=group_chars)
+    named = names_of(nodes.select(F.col("node").alias("fp"), "least"), links).select(F.col("fp").alias("node"), F.col("component.row").alias("stays"))
+    gone = stored(full.select(row, F.col(f"{sign}.node").alias("node")).join(named, "node").where(F.col(row) != F.col("stays")).select(row), "gone")
+    return full.join(sized(gone), row, "left_anti").select(*[full[c] for c in docs.columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spheric.llm import bpe, decontaminate, pii, quality, shards, simhash, tokenbin, toxicity, urls, warc
+from spheric.llm import bpe, decontaminate, graph, pii, quality, shards, simhash, tokenbin, toxicity, urls, warc
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -309,7 +309,7 @@ def test_links_join_all_that_is_near(spark, group_rows):
             x[i] ^= np.uint64(1) << np.uint64(b)
     x = np.unique(x).view(np.int64)
     links = simhash.fingerprint_links(spark.createDataFrame([(int(v),) for v in x], "fp long"), 2, group_rows)
-    got = {r.node: r.root for r in simhash.components(links).collect()}
+    got = {r.node: r.root for r in graph.components(links).collect()}
     u = x.view(np.uint64)
     near = np.bitwise_count(u[:, None] ^ u[None, :]) <= 2
     want = roots([(int(x[a]), int(x[b])) for a, b in zip(*np.nonzero(near), strict=True)], [int(v) for v in x])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from spheric.llm import similar
+from spheric.llm import simhash
 from spheric.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -62,7 +62,7 @@ def test_near_copies_are_those_of_the_shingle_similarity(spark, docs, group_char
                 a, b = sorted((label[i], label[j]))
                 label = [a if x == b else x for x in label]
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = similar.drop_similar(made, group_chars=group_chars)
+    kept = simhash.drop_near_duplicates(made, words=5, similarity=0.8, group_chars=group_chars)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label)) and len(set(label)) < n
 
 
