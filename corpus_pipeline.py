@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spheric.llm import bpe, decontaminate, pii, similar, toxicity
+from spheric.llm import bpe, decontaminate, pii, simhash, toxicity
 from spheric.llm.common import stored
 
 
@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with a Jaccard similarity of 0.8 or more in five-word shingles the row of the smallest id stays."""
-    return similar.drop_similar(docs, words=5, similarity=0.8)
+    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
