@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-#: A worker keeps the ids of so many words at most; words beyond that are encoded each time.
-KEPT_WORDS = 1_000_000
+from spheric.llm.common import shipped
+
+#: A worker keeps the ids of words of up to so many bytes in all, two hundred more counted for each; then it starts anew. Longer words than KEPT_CHARS are encoded each time.
+KEPT_BYTES, KEPT_CHARS = 160 << 20, 64
 #: Characters below this are normalised and split here; the library's own tables, whose Unicode version may differ, do it for words with others.
 PLAIN = re.compile("[\x00-\x7f\xc0-įı-ɏ]*").fullmatch
 #: Python's white space takes in these four separators, the vocabulary file's doesn't.
@@ -44,15 +46,20 @@ def byte_symbols() -> list[str]:
 
 
 class Kept(dict):
-    """What make gives for each key, kept for up to KEPT_WORDS of them."""
+    """What make gives for each key, kept up to KEPT_BYTES and then forgotten, so that words of a changing corpus don't stay out."""
 
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
+    def __init__(self, make, always: dict | None = None) -> None:
+        super().__init__(always or {})
+        self.make, self.always, self.size = make, always or {}, 0
 
     def __missing__(self, key: str) -> bytes:
         found = self.make(key)
-        if len(self) < KEPT_WORDS:
+        if len(key) <= KEPT_CHARS:
+            self.size += 200 + len(key) + len(found)
+            if self.size > KEPT_BYTES:
+                self.clear()
+                self.update(self.always)
+                self.size = 0
             self[key] = found
         return found
 
@@ -85,8 +92,7 @@ class Bpe:
         symbols = byte_symbols()
         self.inner = [self.vocab.get(s) for s in symbols]
         self.last = [self.vocab.get(s + self.suffix) for s in symbols]
-        self.kept = Kept(self.chunk)
-        self.kept.update({name: struct.pack("<I", i) for name, i in self.added.items()})
+        self.kept = Kept(self.chunk, {name: struct.pack("<I", i) for name, i in self.added.items()})
         self.library = Tokenizer.from_file(path)
         self.splitter = pre_tokenizers.Split(Regex(split), "removed", invert=True)
 
@@ -163,6 +169,7 @@ _LOADED: dict[str, Bpe] = {}
 
 def bpe(path: str):
     """A column function: (n_tokens, ids as little-endian 32-bit numbers, decoded). path must lead to the file on every executor."""
+    shipped()
 
     @F.arrow_udf(ENCODED)
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -21,27 +21,33 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spheric.llm.bpe import KEPT_WORDS, byte_symbols
-from spheric.llm.common import new_folder, stored
+from spheric.llm.bpe import KEPT_BYTES, Kept, byte_symbols
+from spheric.llm.common import new_folder, shipped, stored, text_bytes
 
 MAGIC = b"SPHSVB1\n"
+#: Bytes of texts whose pieces are looked up together, more or less: a text is never cut.
+RUN_BYTES = 4 << 20
 #: Ids in a shard, more or less: a document is never cut.
 SHARD_IDS = 4 << 20
 #: For each control byte the lengths of its four ids.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 #: A space between two characters that aren't white space starts a new run; a line feed between such stands alone.
-CLEAN, UNCLEAN, LINE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s").search, re.compile(r"(?<=\S)(\n)(?=\S)")
+CLEAN, LINE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)(\n)(?=\S)")
+#: Characters that Unicode, or Python, takes for white space, but for space and line feed.
+OTHER_SPACE = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: These end a run of letters as one piece of their own. An apostrophe may begin a piece with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: The byte-level vocabulary's own pattern, and the characters that stand for bytes.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -50,20 +56,38 @@ SYMBOLS = dict(enumerate(byte_symbols()))
 PLAIN = re.compile("[\t-\r -~\xc0-ɏ]*").fullmatch
 
 
-class Kept(dict):
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.make(key)
-        if len(self) < KEPT_WORDS:
-            self[key] = found
-        return found
+class Pieces:
+    """The ids of text pieces, one after another in a pool; two dictionaries give the places of bare pieces and of those after a space. Beyond KEPT_BYTES all is forgotten."""
+
+    def __init__(self, dtype: np.dtype) -> None:
+        self.places: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.pool, self.starts, self.sizes = np.zeros(1 << 16, dtype), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.n, self.used, self.kept = 0, 0, 0
+
+    def of(self, spaced: bool, name: str) -> list[int] | None:
+        at = self.places[spaced].get(name)
+        return None if at is None else self.pool[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
+
+    def add(self, spaced: bool, names: list[str], ids: list[list[int]]) -> None:
+        first, n = self.n, len(names)
+        flat = np.array([x for own in ids for x in own], self.pool.dtype)
+        sizes = np.fromiter(map(len, ids), np.int32, n)
+        if first + n > len(self.starts):
+            room = np.zeros(first + 2 * n, np.int32)
+            self.starts, self.sizes = np.concatenate([self.starts, room]), np.concatenate([self.sizes, room])
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(self.used + 2 * len(flat), self.pool.dtype)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : first + n] = sizes
+        self.places[spaced].update(zip(names, range(first, first + n), strict=True))
+        self.n += n
+        self.used += len(flat)
+        self.kept += 200 * n + sum(map(len, names)) + flat.nbytes
 
 
 class Encoder:
-    """The library's ids of a text, put together from those of its runs, which the vocabulary's pattern never joins. Each is encoded once."""
+    """The library's ids of texts, put together from those of their pieces, which the vocabulary's pattern never joins. Each is encoded once for many texts."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
@@ -73,32 +97,88 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.spaced = Kept(lambda x: self.run(x, " "))  # runs after a space, without it
-        self.bare = Kept(lambda x: self.run(x, ""))
-
-    def run(self, text: str, before: str) -> bytes:
-        if text.isascii() and text.isalpha():  # one piece of the pattern, whose characters stand for themselves
-            return self.merged("Ġ" + text if before else text)
-        lines = LINE.split(text) if "\n" in text else [text]
-        if len(lines) > 1:
-            return (self.spaced if before else self.bare)[lines[0]] + b"".join([self.bare[x] for x in lines[1:]])
+        self.known = Pieces(self.dtype)
+        self.marks = Kept(self.merged)
+
+    def merged(self, piece: str) -> list[int]:
+        """The ids of one piece of the pattern, by the library's merges."""
+        return [x.id for x in self.tokenize(piece.encode().decode("latin-1").translate(SYMBOLS))]
+
+    def piece(self, text: str, before: str) -> list[int]:
+        """The ids of a text without a space inside, after a space or not."""
+        if text.isalpha() and PLAIN(text):
+            return self.merged(before + text)
+        core = text.rstrip(MARKS)
+        if len(core) < len(text) and core.isalpha() and PLAIN(core) and not any(x in text for x in self.added):
+            return (self.known.of(before != "", core) or self.merged(before + core)) + self.marks[text[len(core) :]]
         if PLAIN(text) and not any(x in text for x in self.added):
-            pieces = PATTERN.findall(before + text)
-            if len(pieces) > 1:
-                return b"".join([self.spaced[x[1:]] if x[0] == " " else self.bare[x] for x in pieces])
-            return self.merged("".join(pieces).encode().decode("latin-1").translate(SYMBOLS))
-        return np.array(self.library.encode(before + text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def merged(self, symbols: str) -> bytes:
-        return array(self.dtype.char, [x.id for x in self.model.tokenize(symbols)]).tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = CLEAN.split(text) if text[0] == " " or text[-1] == " " or UNCLEAN(text) else text.split(" ")
-        return self.bare[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:]))
+            return [i for x in PATTERN.findall(before + text) for i in self.merged(x)]
+        return self.library.encode(before + text, add_special_tokens=False).ids
+
+    def pieces(self, texts: list[str], before: str) -> list[list[int]]:
+        tokenize, space, piece = self.tokenize, SYMBOLS[32] if before else "", self.piece
+        return [[i.id for i in tokenize(space + x)] if x.isascii() and x.isalpha() else piece(x, before) for x in texts]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and how many each text has."""
+        n, known = len(texts), self.known
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
+        held = pc.dictionary_encode(split.flatten())
+        names, code = held.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(held.indices)
+        # a text is plain if it has single spaces and line feeds between words, and no white space else
+        odd = pc.or_(pc.equal(pc.binary_length(held.dictionary), 0), pc.match_substring_regex(held.dictionary, OTHER_SPACE)).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
+        if odd.any() and (mixed := np.bincount(row, odd[code], n) > 0).any():
+            return self.mixed(texts, ~mixed)
+        bare = np.zeros(len(code) + 1, bool)
+        bare[bounds[:-1]] = True
+        line = names.index("\n") if "\n" in names else -1
+        at_line = code == line
+        bare[1:] |= at_line
+        bare = bare[:-1] | at_line
+        if known.kept > KEPT_BYTES:
+            known.__init__(self.dtype)
+        place = np.zeros(len(code), np.int32)
+        for spaced in (False, True):
+            own = np.flatnonzero(bare != spaced)
+            used = np.flatnonzero(np.bincount(code[own], minlength=len(names)))
+            some = names if len(used) == len(names) else [names[i] for i in used.tolist()]
+            find = known.places[spaced].get
+            found = list(map(find, some))
+            if None in found:
+                new = [x for x, at in zip(some, found, strict=True) if at is None]
+                known.add(spaced, new, self.pieces(new, " " if spaced else ""))
+                found = list(map(find, some))
+            where = np.zeros(len(names), np.int32)
+            where[used] = found
+            place[own] = where[code[own]]
+        size = known.sizes[place]
+        before = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(known.starts[place] - before + size, size)
+        at += np.arange(len(at), dtype=np.int32)
+        return known.pool[at], np.diff(np.concatenate([np.zeros(1, np.int32), before])[bounds]).astype(np.int64)
+
+    def mixed(self, texts: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ids, where some texts aren't plain: those are parted at spaces between two characters that aren't white space, and encoded by themselves."""
+        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(plain)
+        if plain.any():
+            some = np.flatnonzero(plain)
+            ids, sizes = self.ids(texts.take(pa.array(some)))
+            for i, part in zip(some.tolist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                out[i] = part
+        for i in np.flatnonzero(~plain).tolist():
+            if text := texts[i].as_py():
+                first, *rest = CLEAN.split(text)
+                out[i] = np.array([x for x, before in [(first, ""), *((y, " ") for y in rest)] for x in self.run(x, before)], self.dtype)
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def run(self, text: str, before: str) -> list[int]:
+        """The ids of what stands between two clean spaces; line feeds in it that stand alone part it too."""
+        first, *rest = LINE.split(text)
+        return [*self.piece(first, before), *(i for x in rest for i in self.piece(x, ""))]
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -106,15 +186,26 @@ _LOADED: dict[str, Encoder] = {}
 
 def token_ids(path: str, end_id: int | None = 0):
     """A column function: the ids of a text in little-endian numbers of two bytes (four for more than 65,536 ids), with end_id after them."""
+    shipped()
 
     @F.arrow_udf("binary")
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if path not in _LOADED:
             _LOADED[path] = Encoder(path)
         coder = _LOADED[path]
-        end = b"" if end_id is None else coder.dtype.type(end_id).tobytes()
         for column in parts:
-            yield pa.array([coder.ids(x or "") + end for i in range(0, len(column), 256) for x in column[i : i + 256].to_pylist()], pa.binary())
+            column, out = column.cast(pa.large_string()).fill_null(""), []
+            _, at = text_bytes(column)
+            first = 0
+            while first < len(column):
+                last = max(first + 1, int(np.searchsorted(at, at[first] + RUN_BYTES, "right")) - 1)
+                ids, sizes = coder.ids(column[first:last].cast(pa.string()))
+                if end_id is not None:
+                    ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+                ends = np.concatenate([[0], np.cumsum(sizes) * coder.dtype.itemsize]).astype(np.int32)
+                out.append(pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(ends), pa.py_buffer(ids)]))
+                first = last
+            yield pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return encode
 
