@@ -1,13 +1,16 @@
-"""PII: patterns for known kinds find seed entities; the words around these induce lexical patterns; a graph of patterns and instances is scored in turns, and patterns of high confidence find identifiers that no known kind covers.
+"""PII: patterns for known kinds and the shape of keys give seed entities; what stands around these makes lexical patterns; a graph of patterns and instances is scored in turns, and patterns of high confidence find identifiers that no known kind covers.
 
 Built-in functions only. Spans are [start, end) in code points, in the text as it is. A null text counts as an empty one
-and has no spans. Rows that repeat each count and are each marked; null ids too. Further columns stay.
-
-The scoring: an instance is a token of a text with a digit in it, known by its shape (letters and digits by their class,
-runs taken together); a pattern is the word before it or the word after it. An instance that a base span covers is a
-seed, of score 1. A pattern's confidence is the mean score of the instances it stands by, shrunk towards 0 by support; an
-instance shape's score is the mean confidence of its patterns. Both are groups of one row for each distinct word or
-shape and pair of these, summed before they move.
+and has no spans. Rows that repeat each count and are each marked, but a pattern needs different instances; null ids are
+rows like others. Texts, words and contexts of any length are taken whole, in time that grows with the text alone. An empty
+table gives an empty result; further columns, of any name, stay.
+
+A pattern is the word before, the two words before, or the word before and the one after, each with the characters that
+lead up to the instance within its own word, such as a quotation mark. An instance is a word from its first letter or digit
+on. Known kinds are seeds of score 1; words of the shape of a key (sixteen characters with digits and letters) are seeds of
+less, and never marked for their shape alone. A pattern enters the graph if it stands before SUPPORT different seeds and
+seeds are ENTRY of all the words it stands before; in the graph its confidence is the mean score of its instances. What a
+confident pattern stands before is marked whatever its shape, known kinds apart.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spheric.llm.common import fresh, stored
+from spheric.llm.common import fresh, sized, stored
 from spheric.llm.quality import let
 
 #: The contract's patterns. Runs that can't end otherwise are possessive, and no match starts within a run
@@ -25,17 +28,20 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: A token with a digit, of at most this many characters; longer ones are no identifiers.
-TOKEN, TOKEN_CHARS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", 200
-#: What a pattern needs to mark new spans, and how strongly small support is held back.
-CONFIDENCE, SUPPORT, PRIOR, TURNS = 0.6, 3, 2.0, 3
-
-
-def running(sizes: Column, block: int = 256) -> Column:
-    """The running sums of an array, within blocks and then over these, as an array that grows by one value costs its length each time."""
-    grown = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
+#: What white space parts, what may lead up to an identifier within its word, and the identifier; the mark of known kinds.
+WORD, GLUE, CORE, MARK = r"[^\x20\x09-\x0D]+", r"^[^\p{L}0-9\x{E000}]*+", r"[\p{L}0-9](?:[\p{L}0-9_.:@/+=-]*[\p{L}0-9=])?", "\ue000"
+#: The shape of a key, and the score of a seed for its shape alone.
+KEY_CHARS, SHAPED = 16, 0.9
+#: What a pattern needs to enter the graph and to mark new spans, and how strongly small support is held back.
+ENTRY, CONFIDENCE, SUPPORT, PRIOR, TURNS = 0.3, 0.6, 3, 2.0, 3
+
+
+def running(sizes: Column, block: int = 256, largest: bool = False) -> Column:
+    """The running sums, or largest values so far, of an array: within blocks and then over these, as an array that grows by one value costs its length each time."""
+    more = F.greatest if largest else lambda x, y: x + y
+    grown = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(more(F.element_at(a, -1), v))))
     cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(s), F.lit(1)) - 1) / block).cast("int")), lambda b: grown(F.slice(s, b * block + 1, block)))
-    whole = lambda inner, outer: F.flatten(F.transform(inner, lambda x, i: F.transform(F.slice(x, 2, block), lambda v: v + F.get(outer, i))))
+    whole = lambda inner, outer: F.flatten(F.transform(inner, lambda x, i: F.transform(F.slice(x, 2, block), lambda v: more(v, F.get(outer, i)))))
     return let(sizes, lambda s: let(cut(s), lambda inner: let(grown(F.transform(inner, lambda x: F.element_at(x, -1))), lambda outer: whole(inner, outer))))
 
 
@@ -92,66 +98,108 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*parts))
 
 
-def shape(token: Column) -> Column:
-    """Runs of six or more letters and digits that have both as #, other runs of digits as 9, of capitals as A, of other letters as a; the rest as it is."""
-    for pattern, sign in ((r"(?=[\p{L}0-9]*?[0-9])(?=[\p{L}0-9]*?\p{L})[\p{L}0-9]{6,}", "#"), (r"[0-9]+", "9"), (r"\p{Lu}+", "A"), (r"[\p{L}&&[^A]]+", "a")):
-        token = F.regexp_replace(token, pattern, sign)
-    return token
+def pieces_of(text: Column, block: int = 4096):
+    """A function of two places that gives the text between them, in time for what it takes and one block: the text is cut into blocks once."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+
+    def with_blocks(use) -> Column:
+        def cut(held: Column, a: Column, b: Column) -> Column:
+            first, last = F.floor(a / block).cast("int"), F.floor((F.greatest(b, a + 1) - 1) / block).cast("int")
+            joined = F.array_join(F.slice(held, first + 1, last - first + 1), "")
+            return F.when(b > a, F.substring(joined, a - first * block + 1, b - a)).otherwise("")
+
+        return let(blocks, lambda held: use(lambda a, b: cut(held, a, b)))
+
+    return with_blocks
 
 
-def candidates(text: Column) -> Column:
-    """Tokens with a digit as structs (start, end, match, left, right): left is the last word before, right the first after, lower-cased."""
-    near = lambda before, after: {
-        "left": F.lower(F.regexp_extract(F.right(before, F.lit(80)), r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]+$", 1)),
-        "right": F.lower(F.regexp_extract(F.left(after, F.lit(80)), r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,40})", 1)),
-    }
-    found = F.filter(spans_of(text, TOKEN, near), lambda s: F.length(s["match"]) <= TOKEN_CHARS)
-    none = F.array().cast("array<struct<start:int,end:int,match:string,left:string,right:string>>")
-    return F.when(text.rlike("[0-9]"), found).otherwise(none)
+def masked(text: Column) -> Column:
+    """The text with a mark for each character, but white space, of what looks like a known kind: places and words stay as they are."""
 
+    def known(m: Column) -> Column:
+        kind = F.when(F.contains(m, F.lit("@")), valid("email", m)).when(m.startswith("+"), valid("phone", m)).when(F.contains(m, F.lit(".")), valid("ip", m)).otherwise(valid("card", m))
+        return F.when(kind, F.regexp_replace(m, r"[^\x20\x09-\x0D]", MARK)).otherwise(m)
+
+    pattern = "|".join(f"(?:{x})" for x in (EMAIL, PHONE, IP, CARD))
+    clean = F.regexp_replace(text, MARK, "?")
+    both = F.struct(F.regexp_extract_all(clean, F.lit(pattern), F.lit(0)).alias("m"), F.split(clean, pattern, -1).alias("b"))
+    joined = let(both, lambda x: F.array_join(F.transform(x["b"], lambda b, i: F.concat(b, F.coalesce(known(F.get(x["m"], i)), F.lit("")))), ""))
+    return F.when(text.rlike("[0-9@]"), joined).otherwise(clean)
+
+
+def words_in_context(held: DataFrame) -> DataFrame:
+    """Rows (row, pos, word, mark, left, keys) for each word of the texts (row, t): what stands left of it, whether it is of a known kind, and its patterns by their hashes.
+
+    A pattern is what stands before a word's first letter or digit within the word, with one word before, with two, or with one before and one after. Words of known kinds are alike as neighbours.
+    """
+    lists = held.select("row", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.regexp_extract_all(masked(F.col("t")), F.lit(WORD), F.lit(0)).alias("m"))
+    empty = F.lit("")
+    zipped = F.arrays_zip(F.col("w"), F.col("m"), F.concat(F.array(empty), F.col("m")).alias("l1"), F.concat(F.array(empty, empty), F.col("m")).alias("l2"), F.slice("m", 2, F.greatest(F.size("m"), F.lit(1))).alias("r1"))
+    each = lists.select("row", F.posexplode(zipped).alias("pos", "x")).select("row", "pos", F.col("x.w").alias("word"), F.col("x.m").alias("m"), F.lower("x.l1").alias("l1"), F.lower("x.l2").alias("l2"), F.lower(F.coalesce("x.r1", empty)).alias("r1")).where("word is not null")
+    glue = F.regexp_extract("m", GLUE, 0)
+    keyed = each.select("row", "pos", "word", F.contains("m", F.lit(MARK)).alias("mark"), F.col("l1").alias("left"), "l1", "l2", "r1", glue.alias("glue"))
+    return keyed.select("row", "pos", "word", "mark", "left", F.array(F.xxhash64(F.lit(1), "l1", "glue"), F.xxhash64(F.lit(2), "l2", "l1", "glue"), F.xxhash64(F.lit(3), "l1", "glue", "r1")).alias("keys"))
 
-def score_patterns(edges: DataFrame, *, turns: int = TURNS) -> DataFrame:
-    """Rows (pattern, shape, n, seeds, confidence, score) from the graph's edges (pattern, shape, n, seeds)."""
-    shapes = edges.groupBy("shape").agg((F.sum("seeds") / F.sum("n")).alias("score"))
+
+def core(word: Column) -> Column:
+    """The identifier in a word: from its first letter or digit on, up to a character that identifiers don't have."""
+    return F.regexp_extract(word, CORE, 0)
+
+
+def seed_score(word: Column, mark: Column) -> Column:
+    """1 for known kinds, SHAPED for what has the shape of a key: sixteen characters or more, with four digits and four letters at least. Else 0."""
+    c = core(word)
+    long = F.when(F.length(word) >= KEY_CHARS, (F.length(c) >= KEY_CHARS) & (F.length(digits(c)) >= 4) & (F.length(F.regexp_replace(c, "[^A-Za-z]", "")) >= 4)).otherwise(False)
+    return F.when(mark, F.lit(1.0)).when(long, F.lit(SHAPED)).otherwise(F.lit(0.0))
+
+
+def score_patterns(edges: DataFrame, *, turns: int = TURNS, prior: float = PRIOR) -> DataFrame:
+    """Rows (key, support, confidence) from the graph's edges (key, instance, n, seed): a pattern's confidence is the mean score of the instances it stands by, shrunk towards 0 by prior; an instance's score is its seed score or the mean confidence of its patterns, whichever is more."""
+    scores = edges.groupBy("instance").agg(F.max("seed").alias("score"))
     for turn in range(turns):
-        held = edges.join(shapes, "shape")
-        patterns = held.groupBy("pattern").agg((F.sum(F.col("n") * F.greatest("score", F.col("seeds") / F.col("n"))) / (F.sum("n") + PRIOR)).alias("confidence"), F.sum("n").alias("support"))
-        scored = edges.join(patterns, "pattern")
-        shapes = scored.groupBy("shape").agg(F.greatest(F.sum("seeds") / F.sum("n"), F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("score"))
+        held = edges.join(scores, "instance")
+        patterns = held.groupBy("key").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + F.lit(prior))).alias("confidence"), F.count(F.lit(1)).alias("support"))
+        patterns = stored(patterns, "patterns")
         if turn + 1 < turns:
-            shapes = stored(shapes, "shapes")
-    return stored(scored.join(shapes, "shape").select("pattern", "shape", "n", "seeds", "confidence", "support", "score"), "patterns")
+            scores = stored(edges.join(patterns, "key").groupBy("instance").agg(F.greatest(F.max("seed"), F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("score")), "scores")
+    return patterns
 
 
 def find_pii(docs: DataFrame, *, text: str = "text", into: str = "pii", confidence: float = CONFIDENCE, support: int = SUPPORT, turns: int = TURNS) -> DataFrame:
     """docs with an array column of structs (start, kind, end) in order: base spans, of kinds 0 to 3 as in KINDS, and those that patterns add, of kind 4. into replaces a column of that name.
 
-    Each text is searched once and what was found is kept in the shared folder, which all later steps read.
+    Each text is searched for known kinds once and kept with them in the shared folder, which all later steps read.
     """
-    row, base, tokens, added = (fresh(docs, x) for x in ("row", "base", "tokens", "added"))
+    row, base, added = (fresh(docs, x) for x in ("row", "base", "added"))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    held = stored(docs.withColumns({base: base_spans(t), tokens: candidates(t), row: F.monotonically_increasing_id()}), "spans")
-    new = new_spans(held.select(F.col(row).alias("row"), F.col(base).alias("base"), F.col(tokens).alias("tokens")), confidence, support, turns)
-    both = held.join(new.select(F.col("row").alias(row), F.col("spans").alias(added)), row, "left")
+    held = stored(docs.withColumns({base: base_spans(t), row: F.monotonically_increasing_id()}), "spans")
+    new = new_spans(held.select(F.col(row).alias("row"), t.alias("t")), confidence, support, turns)
+    both = held.join(sized(new.select(F.col("row").alias(row), F.col("spans").alias(added))), row, "left")
     spans = F.sort_array(F.concat(F.col(base), F.coalesce(F.col(added), F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return both.withColumn(into, spans).select(*[c for c in docs.columns if c.lower() != into.lower()], into)
 
 
-def new_spans(held: DataFrame, confidence: float, support: int, turns: int) -> DataFrame:
-    """Rows (row, spans) of the tokens that patterns of confidence find beyond the base spans."""
-    each = held.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("x"), "base")
-    hits = lambda s: (s["start"] < F.col("x.end")) & (s["end"] > F.col("x.start"))
-    each = each.select("row", "x", F.exists("base", hits).cast("long").alias("seed"), shape(F.col("x.match")).alias("shape"))
-    named = each.select("row", "seed", "shape", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.explode(_patterns(F.col("x"))).alias("pattern"))
-    edges = stored(named.groupBy("pattern", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum("seed").alias("seeds")), "edges")
-    good = score_patterns(edges, turns=turns).where((F.col("confidence") >= confidence) & (F.col("support") >= support) & (F.col("score") >= confidence)).select("pattern", "shape")
-    found = named.where("seed = 0").join(good, ["pattern", "shape"], "left_semi")
-    return found.groupBy("row").agg(F.array_distinct(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("spans"))
+def new_spans(texts: DataFrame, confidence: float, support: int, turns: int) -> DataFrame:
+    """Rows (row, spans) of the words of the texts (row, t) that patterns of confidence find beyond the known kinds.
 
-
-def _patterns(x: Column) -> Column:
-    own = F.array(F.when(x["left"] != "", F.concat(F.lit("<"), x["left"])), F.when(x["right"] != "", F.concat(F.lit(">"), x["right"])))
-    return F.filter(own, lambda p: p.isNotNull())
+    Patterns of too few different seeds are left out first, then those after which seeds are rare among all words; both
+    tables have a number or two for each pattern. Only what stands by the rest makes the graph.
+    """
+    seeded = words_in_context(texts.where(F.col("t").rlike("[0-9@]"))).withColumn("seed", seed_score(F.col("word"), F.col("mark"))).where(f"seed > 0 and not contains(left, '{MARK}')")
+    every = seeded.select(F.explode("keys").alias("key"), F.xxhash64(core(F.col("word"))).alias("i")).groupBy("key", "i").agg(F.count(F.lit(1)).alias("n"))
+    induced = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("seeds")).where(F.col("support") >= support), "induced")
+    spread = words_in_context(texts).select(F.explode("keys").alias("key")).join(sized(induced.select("key")), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    entered = stored(induced.join(spread, "key").where(F.col("seeds") >= ENTRY * F.col("n")).select("key"), "entered")
+    words = words_in_context(texts).select("row", "pos", "word", "mark", F.explode("keys").alias("key")).join(sized(entered), "key")
+    hits = stored(words.select("row", "pos", "mark", "key", F.xxhash64(core(F.col("word"))).alias("instance"), seed_score(F.col("word"), F.col("mark")).alias("seed")), "hits")
+    edges = stored(hits.groupBy("key", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "edges")
+    good = score_patterns(edges, turns=turns).where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("key")
+    found = stored(hits.where("not mark").join(good, "key", "left_semi").select("row", "pos").distinct(), "found")
+    chosen = texts.join(sized(stored(found.select("row").distinct(), "rows")), "row", "left_semi")
+    placed = chosen.select("row", F.posexplode(spans_of(F.col("t"), WORD)).alias("pos", "x")).join(sized(found), ["row", "pos"])
+    start = F.col("x.start") + F.length(F.regexp_extract("x.match", GLUE, 0))
+    span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("kind"), (start + F.length(core(F.col("x.match")))).alias("end"))
+    return stored(placed.where(F.length(core(F.col("x.match"))) > 0).groupBy("row").agg(F.collect_list(span).alias("spans")), "new-spans")
 
 
 def redact(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
@@ -159,14 +207,17 @@ def redact(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     mark = fresh(docs, "pii")
     found = find_pii(docs, text=text, into=mark, **options)
     names = F.array(*[F.lit(f"<{k}>") for k in (*KINDS, "identifier")])
-    t = F.col(text).cast("string")
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    beyond = lambda a, s: F.struct(
-        F.greatest(a["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= a["at"], F.concat(a["parts"], F.array(F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"])))).otherwise(a["parts"]).alias("parts"),
-    )
-    cut = F.aggregate(F.col(mark), first, beyond, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(t, a["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size(mark) > 0, cut).otherwise(F.col(text))).select(*docs.columns)
+    t, spans = F.col(text).cast("string"), F.col(mark)
+
+    def cut(piece) -> Column:
+        def parts(ends: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+            own = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(before(i), s["start"]), F.get(names, s["kind"]))).otherwise(""))
+            return F.concat(F.array_join(own, ""), piece(F.element_at(ends, -1), F.length(t)))
+
+        return let(running(F.transform(spans, lambda s: s["end"]), largest=True), parts)
+
+    return found.withColumn(text, F.when(F.size(mark) > 0, pieces_of(t)(cut)).otherwise(F.col(text))).select(*docs.columns)
 
 
 def listed(spans: Column, names: tuple[str, ...] = (*KINDS, "identifier")) -> Column:

@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spheric.llm.bpe import KEPT_BYTES, Kept, byte_symbols
+from spheric.llm.bpe import Kept, byte_symbols
 from spheric.llm.common import new_folder, shipped, stored, text_bytes
 
 MAGIC = b"SPHSVB1\n"
+#: Bytes that a worker's known pieces take before they are forgotten, two hundred counted for each besides its characters and ids.
+KEPT_BYTES = 240 << 20
 #: Bytes of texts whose pieces are looked up together, more or less: a text is never cut.
 RUN_BYTES = 4 << 20
 #: Ids in a shard, more or less: a document is never cut.
@@ -212,15 +214,17 @@ def token_ids(path: str, end_id: int | None = 0):
 
 def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Control bytes and data bytes."""
-    ranks = ranks.astype(np.uint32)
-    more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    ranks, planes = ranks.astype(np.uint32), max(1, (int(ranks.max(initial=0)).bit_length() + 7) // 8)
+    more = np.zeros(len(ranks), np.uint8)
+    for k in range(1, planes):
+        more += ranks >= 1 << 8 * k
     quads = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     quads[: len(ranks)] = more
     quads = quads.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
     at = np.cumsum(more, dtype=np.int64) - more + np.arange(len(ranks))
     data = np.zeros(len(ranks) + int(more.sum(dtype=np.int64)), np.uint8)
-    for k in range(4):
+    for k in range(planes):
         own = slice(None) if k == 0 else np.flatnonzero(more >= k)
         data[at[own] + k] = (ranks[own] >> np.uint32(8 * k)) & np.uint32(0xFF)
     return control.astype(np.uint8), data
@@ -231,7 +235,7 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     size = LENGTHS[control].reshape(-1)[:n]
     at = np.cumsum(size, dtype=np.int64) - size
     ranks = data[at].astype(np.uint32)
-    for k in range(1, 4):
+    for k in range(1, int(size.max(initial=1))):
         own = np.flatnonzero(size > k)
         ranks[own] |= data[at[own] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks

@@ -253,11 +253,28 @@ def test_base_spans_are_brute_force(spark, docs, none):
 
 
 def test_patterns_find_what_no_kind_covers(spark):
-    rows = [(i, f"write to user{i}@mail.example please") for i in range(12)] + [(20, "write to AB12CD34 please"), (21, "the year was 1999 again")]
+    rng = np.random.default_rng(6)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(6)]
+    rows = [(i, f"some words secret: [{h}] more of them") for i, h in enumerate(hexes)] + [(i, f"write to user{i}@mail.example please") for i in range(10, 20)]
+    rows += [(20, "write to AB12CD34 please"), (21, "the year was 1999 again"), (22, "the secret: [hunter] is out"), (23, f"{hexes[0]} stands alone"), (24, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: pii_spans(r.pii, r.text) for r in pii.find_pii(docs, confidence=0.5).collect()}
-    assert got[20] == ["AB12CD34"] and got[21] == [] and got[3] == ["user3@mail.example"]
-    assert {r.doc_id: r.text for r in pii.redact(docs, confidence=0.5).collect()}[20] == "write to <identifier> please"
+    got = {r.doc_id: pii_spans(r.pii, r.text) for r in pii.find_pii(docs).collect()}
+    assert [got[i] for i in range(6)] == [[h] for h in hexes] and got[20] == ["AB12CD34"] and got[22] == ["hunter"]
+    assert got[21] == got[23] == got[24] == [] and got[13] == ["user13@mail.example"]
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out[20] == "write to <identifier> please" and out[22] == "the secret: [<identifier>] is out" and out[12] == "write to <email> please" and out[24] is None
+
+
+def test_patterns_need_different_seeds_and_few_other_words(spark):
+    rows = [(i, "call key 0123456789abcdef0123 now") for i in range(50)] + [(100 + i, f"so the {x}") for i, x in enumerate(["10.0.0.1", "10.0.0.2", "10.0.0.3", "10.0.0.4", *"abcdefghijklmnop"])]
+    assert not [s for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.pii if s.kind == 4]
+
+
+def test_texts_of_very_many_spans(spark):
+    many = " ".join(f"10.{i % 256}.{i // 256 % 256}.7 née" for i in range(100_000))
+    docs = spark.createDataFrame([(1, many), (2, "word " * 200_000 + "end x@y.example")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.redact(docs).select("doc_id", "text").collect()}
+    assert got[1].text == " ".join(["<ip> née"] * 100_000) and got[2].text.endswith("end <email>") and got[2].text.startswith("word word")
 
 
 def pii_spans(spans, text):
