@@ -15,6 +15,8 @@ confident pattern stands before is marked whatever its shape, known kinds apart.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ WORD, GLUE, CORE, MARK = r"[^\x20\x09-\x0D]+", r"^[^\p{L}0-9\x{E000}]*+", r"[\p{
 KEY_CHARS, SHAPED = 16, 0.9
 #: What a pattern needs to enter the graph and to mark new spans, and how strongly small support is held back.
 ENTRY, CONFIDENCE, SUPPORT, PRIOR, TURNS = 0.3, 0.6, 3, 2.0, 3
+#: Texts are searched for up to so many words before they are taken apart; beyond, all are taken apart.
+ANY_OF = 64
 
 
 def running(sizes: Column, block: int = 256, largest: bool = False) -> Column:
@@ -121,24 +125,39 @@ def masked(text: Column) -> Column:
         return F.when(kind, F.regexp_replace(m, r"[^\x20\x09-\x0D]", MARK)).otherwise(m)
 
     pattern = "|".join(f"(?:{x})" for x in (EMAIL, PHONE, IP, CARD))
-    clean = F.regexp_replace(text, MARK, "?")
+    clean = F.translate(text, MARK, "?")
     both = F.struct(F.regexp_extract_all(clean, F.lit(pattern), F.lit(0)).alias("m"), F.split(clean, pattern, -1).alias("b"))
     joined = let(both, lambda x: F.array_join(F.transform(x["b"], lambda b, i: F.concat(b, F.coalesce(known(F.get(x["m"], i)), F.lit("")))), ""))
     return F.when(text.rlike("[0-9@]"), joined).otherwise(clean)
 
 
-def words_in_context(held: DataFrame) -> DataFrame:
-    """Rows (row, pos, word, mark, left, keys) for each word of the texts (row, t): what stands left of it, whether it is of a known kind, and its patterns by their hashes.
+def words_in_context(texts: DataFrame) -> DataFrame:
+    """Rows (row, pos, word, own, left, far, right) for each word of the texts (row, t): own is the word and left, far and right those around it, in small letters and with known kinds masked."""
+    split = texts.select("row", "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"))
+    lists = split.select("row", "w", F.regexp_extract_all(F.lower(masked(F.col("t"))), F.lit(WORD), F.lit(0)).alias("m"))
+    none = F.lit("")
+    zipped = F.arrays_zip(F.col("w"), F.col("m"), F.concat(F.array(none), F.col("m")).alias("l1"), F.concat(F.array(none, none), F.col("m")).alias("l2"), F.slice("m", 2, F.greatest(F.size("m"), F.lit(1))).alias("r1"))
+    each = lists.select("row", F.posexplode(zipped).alias("pos", "x"))
+    return each.select("row", "pos", F.col("x.w").alias("word"), F.col("x.m").alias("own"), F.col("x.l1").alias("left"), F.col("x.l2").alias("far"), F.coalesce("x.r1", none).alias("right")).where("word is not null")
 
-    A pattern is what stands before a word's first letter or digit within the word, with one word before, with two, or with one before and one after. Words of known kinds are alike as neighbours.
-    """
-    lists = held.select("row", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.regexp_extract_all(masked(F.col("t")), F.lit(WORD), F.lit(0)).alias("m"))
-    empty = F.lit("")
-    zipped = F.arrays_zip(F.col("w"), F.col("m"), F.concat(F.array(empty), F.col("m")).alias("l1"), F.concat(F.array(empty, empty), F.col("m")).alias("l2"), F.slice("m", 2, F.greatest(F.size("m"), F.lit(1))).alias("r1"))
-    each = lists.select("row", F.posexplode(zipped).alias("pos", "x")).select("row", "pos", F.col("x.w").alias("word"), F.col("x.m").alias("m"), F.lower("x.l1").alias("l1"), F.lower("x.l2").alias("l2"), F.lower(F.coalesce("x.r1", empty)).alias("r1")).where("word is not null")
-    glue = F.regexp_extract("m", GLUE, 0)
-    keyed = each.select("row", "pos", "word", F.contains("m", F.lit(MARK)).alias("mark"), F.col("l1").alias("left"), "l1", "l2", "r1", glue.alias("glue"))
-    return keyed.select("row", "pos", "word", "mark", "left", F.array(F.xxhash64(F.lit(1), "l1", "glue"), F.xxhash64(F.lit(2), "l2", "l1", "glue"), F.xxhash64(F.lit(3), "l1", "glue", "r1")).alias("keys"))
+
+def patterns() -> Column:
+    """The patterns of a word in context, by their hashes: what stands before its first letter or digit within the word, with one word before, with two, or with one before and one after."""
+    glue = F.regexp_extract("own", GLUE, 0)
+    return F.array(F.xxhash64(F.lit(1), "left", glue), F.xxhash64(F.lit(2), "far", "left", glue), F.xxhash64(F.lit(3), "left", glue, "right"))
+
+
+def is_known() -> Column:
+    return F.contains("own", F.lit(MARK))
+
+
+def holding(texts: DataFrame, lefts: list[str]) -> DataFrame:
+    """The texts that may hold one of these words. For more than ANY_OF words all of them are given."""
+    if len(lefts) > ANY_OF:
+        return texts
+    low = F.lower("t")
+    parts = [F.contains(low, F.lit(x)) for x in lefts]
+    return texts.where(F.lit(False) if not parts else functools.reduce(lambda x, y: x | y, parts))
 
 
 def core(word: Column) -> Column:
@@ -185,13 +204,15 @@ def new_spans(texts: DataFrame, confidence: float, support: int, turns: int) ->
     Patterns of too few different seeds are left out first, then those after which seeds are rare among all words; both
     tables have a number or two for each pattern. Only what stands by the rest makes the graph.
     """
-    seeded = words_in_context(texts.where(F.col("t").rlike("[0-9@]"))).withColumn("seed", seed_score(F.col("word"), F.col("mark"))).where(f"seed > 0 and not contains(left, '{MARK}')")
-    every = seeded.select(F.explode("keys").alias("key"), F.xxhash64(core(F.col("word"))).alias("i")).groupBy("key", "i").agg(F.count(F.lit(1)).alias("n"))
-    induced = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("seeds")).where(F.col("support") >= support), "induced")
-    spread = words_in_context(texts).select(F.explode("keys").alias("key")).join(sized(induced.select("key")), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    entered = stored(induced.join(spread, "key").where(F.col("seeds") >= ENTRY * F.col("n")).select("key"), "entered")
-    words = words_in_context(texts).select("row", "pos", "word", "mark", F.explode("keys").alias("key")).join(sized(entered), "key")
-    hits = stored(words.select("row", "pos", "mark", "key", F.xxhash64(core(F.col("word"))).alias("instance"), seed_score(F.col("word"), F.col("mark")).alias("seed")), "hits")
+    seeded = words_in_context(texts.where(F.col("t").rlike("[0-9@]"))).withColumn("seed", seed_score(F.col("word"), is_known())).where(f"seed > 0 and not contains(left, '{MARK}')")
+    every = seeded.select("left", F.explode(patterns()).alias("key"), F.xxhash64(core(F.col("word"))).alias("i")).groupBy("left", "key", "i").agg(F.count(F.lit(1)).alias("n"))
+    induced = stored(every.groupBy("left", "key").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("seeds")).where(F.col("support") >= support), "induced")
+    lefts = stored(induced.select("left").distinct(), "lefts")
+    spread = words_in_context(texts).join(sized(lefts), "left").select(F.explode(patterns()).alias("key")).join(sized(induced.select("key")), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    entered = stored(induced.join(spread, "key").where(F.col("seeds") >= ENTRY * F.col("n")).select("left", "key"), "entered")
+    some = holding(texts, [r.left for r in entered.select("left").distinct().limit(ANY_OF + 1).collect()])
+    words = words_in_context(some).join(sized(entered.select("left").distinct()), "left").select("row", "pos", "word", "own", F.explode(patterns()).alias("key")).join(sized(entered.select("key")), "key")
+    hits = stored(words.select("row", "pos", is_known().alias("mark"), "key", F.xxhash64(core(F.col("word"))).alias("instance"), seed_score(F.col("word"), is_known()).alias("seed")), "hits")
     edges = stored(hits.groupBy("key", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "edges")
     good = score_patterns(edges, turns=turns).where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("key")
     found = stored(hits.where("not mark").join(good, "key", "left_semi").select("row", "pos").distinct(), "found")
