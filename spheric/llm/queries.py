@@ -44,7 +44,11 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FRO
 FROM m
 """
 
-OP5_SQL = "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents"
+OP5_SQL = """
+SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, length(coalesce(text, ''))::BIGINT AS n_chars, text IS NULL AS text_null,
+       sha256(coalesce(lang, '') || '|' || coalesce(source, '') || '|' || coalesce(n_chars::VARCHAR, '')) AS rest_sha256, true AS merged
+FROM documents
+"""
 
 OP7_SQL = r"""
 WITH w AS (

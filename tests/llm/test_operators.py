@@ -126,19 +126,42 @@ def test_normaliser_splits_members():
 
 
 def test_compaction_keeps_rows_and_versions(spark, docs, tmp_path):
+    odd = docs.selectExpr("*", "1 as bin", "'f' as file", "2 as __bin", "'g' as __file")
     store = shards.ShardStore(spark, f"file://{tmp_path}/s", fanout=2)
     assert store.versions() == []
     for _ in range(2):
-        store.append(docs.repartition(3))
-    assert store.append(docs.where("false")) == 3
+        store.append(odd.repartition(3))
+    assert store.append(odd.where("false")) == 3
     before = sorted(map(str, store.read().collect()))
-    assert store.compact() == 4 and sorted(map(str, store.read().collect())) == before and len(before) == 2 * docs.count()
+    last = store.compact()
+    assert last >= 4 and sorted(map(str, store.read().collect())) == before and len(before) == 2 * odd.count() and store.read().columns == odd.columns
     assert store.manifest().count() < store.manifest(3).count() and sorted(map(str, store.read(3).collect())) == before
-    assert store.compact() == 4
-    with pytest.raises(RuntimeError):
-        store._commit(store.manifest(), 3)
+    assert store.compact() == last and {r.merged for r in store.manifest().collect()} == {True}
+    with pytest.raises(ValueError):
+        store.append(docs)
     store.vacuum()
-    assert store.versions() == [4] and sorted(map(str, store.read().collect())) == before
+    assert store.versions() == [last] and sorted(map(str, store.read().collect())) == before
+    empty = shards.ShardStore(spark, f"file://{tmp_path}/e")
+    empty.append(odd.where("false"))
+    assert empty.compact() == 1 and empty.read(details={"tier": "t"}).count() == 0
+
+
+def test_of_two_writers_one_gets_the_error(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id", "cast(id as string) text")
+    first, second = (shards.ShardStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    first.append(rows)
+    inner = second._commit
+
+    def late(*args):  # the other writer commits while this one is about to
+        second._commit = inner
+        first.append(rows.where("id < 5"))
+        return inner(*args)
+
+    second._commit = late
+    with pytest.raises(RuntimeError):
+        second.append(rows)
+    assert first.versions() == second.versions() == [1, 2] and second.read().count() == 15
+    assert second.append(rows) == 3 and second.read().count() == 25
 
 
 # 6
