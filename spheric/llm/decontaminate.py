@@ -1,8 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against which the word windows of training texts are scanned.
 
+The set holds the items' words once, and of each window its hash and where it begins, so that it takes some five bytes for
+each byte of the items; a benchmark whose set would be larger than SET_BYTES is scanned for in parts, one pass each.
+
 Nulls and texts without words hold no words and are never hit. Items without words make no window; repeated items and
 windows count once per item id; a null item id is left out of the item list but its windows still hit. Rows are judged
-one by one, so repeated rows, null ids and any further columns pass unchanged. An empty benchmark hits nothing.
+one by one and whole, so repeated rows, null ids, texts of any length and further columns of any name pass unchanged. An
+empty benchmark hits nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spheric.llm.common import span_hashes, stored, text_runs
+from spheric.llm.common import fresh, shipped, span_hashes, stored, text_runs
 
-#: Item text that one broadcast set is made of at most. A larger benchmark is scanned for in several passes.
-SET_BYTES = 64 << 20
+#: Bytes of one broadcast set at most, at BYTES_EACH for each byte of item text. A larger benchmark is scanned for in several passes.
+SET_BYTES, BYTES_EACH = 64 << 20, 5
 WORD_BASE, WINDOW_BASE = 0x5851F42D4C957F2D, 0x14057B7EF767814F | 1
 #: Digits, small letters and bytes beyond ASCII make words; capitals become small; all else parts words.
 FOLD = np.full(256, 32, np.uint8)
@@ -53,28 +57,54 @@ def word_list(text: str | None) -> list[bytes]:
 
 
 class GramSet:
-    """The windows of test items by length, with the items that hold them; probed by hash, then held against the words."""
+    """The windows of test items by length; probed by hash, then held against the words."""
 
     def __init__(self, items: Iterator[tuple[str | None, str | None]], n: int) -> None:
-        grams: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
+        texts: list[bytes] = []
+        self.items: list[str | None] = []
+        sizes: list[int] = []
         for item, text in items:
-            words = word_list(text)
-            k = min(n, len(words))
-            for i in range(len(words) - k + 1 if k else 0):
-                grams[k][b" ".join(words[i : i + k])].add(item)
-        self.grams = {k: dict(v) for k, v in grams.items()}
-        self.hashes = {}
-        for k, v in self.grams.items():
-            joined = b" ".join(v)
-            data = np.frombuffer(joined, np.uint8)
-            _, first, end, _ = words_of(data, np.array([0, len(data)]))
-            w = span_hashes(data.astype(np.uint64), first, end, WORD_BASE)
-            i = np.arange(0, len(w), k)
-            h = np.unique(span_hashes(w, i, i + k, WINDOW_BASE))
+            if words := word_list(text):
+                self.items.append(item)
+                texts.append(b" ".join(words))
+                sizes.append(len(words))
+        self.text = b" ".join(texts)
+        data = np.frombuffer(self.text, np.uint8)
+        # words are parted by one space, so that each ends one before the next begins
+        _, first, end, _ = words_of(data, np.array([0, len(data)]))
+        self.first = np.append(first, len(data) + 1).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+        w = span_hashes(data.astype(np.uint64), first, end, WORD_BASE)
+        count = np.array(sizes, np.int64)
+        self.before = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        item_of = np.repeat(np.arange(len(count)), count)
+        last = np.repeat(self.before[1:], count)
+        #: For each length: hashes in order, the word each begins with, and a bit for each hash's first bits.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = {}
+        for k in sorted({min(n, x) for x in sizes}):
+            own = np.arange(len(w)) + k <= last
+            if k < n:
+                own &= np.repeat(count == k, count)
+            i = np.flatnonzero(own)
+            h = span_hashes(w, i, i + k, WINDOW_BASE)
+            order = np.lexsort((item_of[i], h))
+            i, h = i[order], h[order]
+            again = np.zeros(len(i), bool)  # an item's repeated windows count once
+            again[1:] = (h[1:] == h[:-1]) & (item_of[i][1:] == item_of[i][:-1])
+            i, h = i[~again], h[~again]
             bits = max(12, int(len(h)).bit_length() + 5)
-            maybe = np.zeros(1 << bits, bool)
-            maybe[h >> np.uint64(64 - bits)] = True
-            self.hashes[k] = (h, maybe, np.uint64(64 - bits))
+            maybe = np.zeros(1 << (bits - 3), np.uint8)
+            top = h >> np.uint64(64 - bits)
+            np.bitwise_or.at(maybe, top >> np.uint64(3), np.uint8(1) << (top & np.uint64(7)).astype(np.uint8))
+            self.windows[k] = (h, i.astype(self.first.dtype), maybe, np.uint64(64 - bits))
+
+    def nbytes(self) -> int:
+        return len(self.text) + self.first.nbytes + self.before.nbytes + sum(h.nbytes + i.nbytes + m.nbytes for h, i, m, _ in self.windows.values())
+
+    def holders(self, k: int, lo: int, hi: int, words: bytes) -> Iterator[str | None]:
+        """The ids of the items whose windows, of the hashes lo to hi, are these words."""
+        for i in self.windows[k][1][lo:hi].tolist():
+            if self.text[self.first[i] : self.first[i + k] - 1] == words:
+                yield self.items[int(np.searchsorted(self.before, i, "right")) - 1]
 
     def scan(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, list, list]]:
         """For each row of a run: words, hit words, ids of the items found, byte spans of the hits."""
@@ -82,22 +112,24 @@ class GramSet:
         n = len(first)
         edge = np.zeros(n + 1, np.int64)
         found: dict[int, set] = defaultdict(set)
-        if n and self.grams:
+        if n and self.windows:
             w = span_hashes(low.astype(np.uint64), first, end, WORD_BASE)
-            text = low.tobytes()
             last = np.repeat(before[1:], np.diff(before))  # for each word the end of its row
-            for k, (hashes, maybe, shift) in self.hashes.items():
+            for k, (hashes, _, maybe, shift) in self.windows.items():
                 i = np.flatnonzero(np.arange(n) + k <= last)
                 if not len(i):
                     continue
                 h = span_hashes(w, i, i + k, WINDOW_BASE)
-                near = maybe[h >> shift]
+                top = h >> shift
+                near = (maybe[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 i, h = i[near], h[near]
-                i = i[hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h]
+                lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+                i, lo, hi = i[hi > lo], lo[hi > lo], hi[hi > lo]
                 rows = np.searchsorted(before, i, "right") - 1
-                for x, row in zip(i.tolist(), rows.tolist(), strict=True):
-                    items = self.grams[k].get(b" ".join(text[first[x] : end[x + k - 1]].split()))
-                    if items is not None:
+                for x, row, a, b in zip(i.tolist(), rows.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    words = b" ".join(low[first[x] : end[x + k - 1]].tobytes().split())
+                    items = set(self.holders(k, a, b, words))
+                    if items:
                         edge[x] += 1
                         edge[x + k] -= 1
                         found[row] |= items
@@ -139,23 +171,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, te
     """docs with a struct column (n_words, n_hit, items sorted as strings, spans of hit code points); into replaces a column of that name.
 
     A window is n words in a row of an item, or the whole of a shorter item. The benchmark's size is asked of Spark first:
-    its set is broadcast whole up to set_bytes of text, else in as many parts as keep each below that, one pass each.
+    its set is broadcast whole up to set_bytes, else in as many parts as keep each below that, one pass each, and a part's
+    set goes when its pass is over.
     """
-    spark = docs.sparkSession
+    spark = shipped(docs.sparkSession)
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = 1 + int(size // set_bytes)
-    out = docs
+    parts = 1 + int(size * BYTES_EACH // set_bytes)
+    out, more, t = docs, fresh(docs.withColumn(into, F.lit(0)), "part"), F.col(text).cast("string")
     for part in range(parts):
         some = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
         shared = spark.sparkContext.broadcast(GramSet(((r.i, r.t) for r in some.toLocalIterator()), n))
-        column = _scanner(shared)(F.col(text).cast("string"))
+        column = _scanner(shared)(t)
         if part == 0:
             out = out.withColumn(into, column)
         else:
-            out = out.withColumn("__part", column).withColumn(into, _union(F.col(text).cast("string"), F.col(into), F.col("__part"))).drop("__part")
+            out = out.withColumn(more, column).withColumn(into, _union(t, F.col(into), F.col(more))).drop(more)
         if parts > 1:
             out = stored(out, "decontaminate")
+            shared.destroy()
     return out
 
 
@@ -179,14 +213,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     """docs without what the benchmark holds: remove="documents" drops every hit document, "spans" cuts the hit words out of its text. The columns stay those of docs."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
-    mark = "__contamination"
+    mark = fresh(docs, "contamination")
     found = find_contamination(docs, benchmark, text=text, into=mark, **options)
     if remove == "documents":
         return found.where(F.col(f"{mark}.n_hit") == 0).drop(mark)
-    spans, t = F.col(f"{mark}.spans"), F.col(text)
-    edges = F.concat(F.array(F.lit(0).cast("long")), F.flatten(spans), F.array(F.length(t).cast("long")))
-    kept = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.substring(t, (edges[2 * i] + 1).cast("int"), (edges[2 * i + 1] - edges[2 * i]).cast("int")))
-    return found.withColumn(text, F.when(F.col(f"{mark}.n_hit") > 0, F.array_join(kept, "")).otherwise(t)).drop(mark)
+    return found.withColumn(text, F.when(F.col(f"{mark}.n_hit") > 0, _cut(F.col(text).cast("string"), F.col(f"{mark}.spans"))).otherwise(F.col(text))).drop(mark)
+
+
+@F.arrow_udf(T.StringType())
+def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts without the spans, which don't overlap."""
+    out = []
+    for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        edges = [0, *(x for span in own or () for x in span), len(text or "")]
+        out.append(None if text is None else "".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+    return pa.array(out, pa.string())
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -20,8 +20,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spheric.llm.common import fresh, sized, stored
-from spheric.llm.quality import let
+from spheric.llm.common import fresh, let, pieces_of, sized, stored
 
 #: The contract's patterns. Runs that can't end otherwise are possessive, and no match starts within a run
 #: that a match would have begun earlier, so each pattern takes time in proportion to the text.
@@ -102,21 +101,6 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*parts))
 
 
-def pieces_of(text: Column, block: int = 4096):
-    """A function of two places that gives the text between them, in time for what it takes and one block: the text is cut into blocks once."""
-    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
-
-    def with_blocks(use) -> Column:
-        def cut(held: Column, a: Column, b: Column) -> Column:
-            first, last = F.floor(a / block).cast("int"), F.floor((F.greatest(b, a + 1) - 1) / block).cast("int")
-            joined = F.array_join(F.slice(held, first + 1, last - first + 1), "")
-            return F.when(b > a, F.substring(joined, a - first * block + 1, b - a)).otherwise("")
-
-        return let(blocks, lambda held: use(lambda a, b: cut(held, a, b)))
-
-    return with_blocks
-
-
 def masked(text: Column) -> Column:
     """The text with a mark for each character, but white space, of what looks like a known kind: places and words stay as they are."""
 

@@ -3,7 +3,8 @@
 Built-in functions only: each text is measured within its row, so nothing is shuffled but the ablation's few sums.
 
 A null text holds no words and counts as an empty one, which fails the rule of length. Rows that repeat, and null ids,
-have a ledger row each. Further columns stay as they are; those of the ledger's names are replaced.
+have a ledger row each; texts of any length are measured whole, and an empty table has an empty ledger. Further columns,
+of any name, stay as they are; those of the ledger's names are replaced.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spheric.llm.common import fresh, let
+
 #: What parts words, and what counts as a symbol.
 SPACE, SYMBOL = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 
@@ -53,11 +56,6 @@ BASE = Policy("base", ("short", "repeated_words"))
 STRICT = Policy("2", ("short", "repeated_words", "repeated_lines", "symbols", "word_length", "long_words", "few_letters"))
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value worked out once for each row: a lambda's variable is not, in contrast to a column, worked out again where it stands inside another lambda."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repeat_words(words: Column, width: int = 3) -> Column:
     """The words that stand in a window of width words which the text has twice or more.
 
@@ -89,8 +87,9 @@ def measurements(text: Column) -> dict[str, Column]:
 def ledger(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with its measurements and failures, a bit for each rule."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    parts = docs.withColumn("__parts", F.struct(*[c.alias(name) for name, c in measurements(t).items()]))
-    words, lines = F.col("__parts.words"), F.col("__parts.lines")
+    held = fresh(docs, "parts")
+    parts = docs.withColumn(held, F.struct(*[c.alias(name) for name, c in measurements(t).items()]))
+    words, lines = F.col(f"{held}.words"), F.col(f"{held}.lines")
     joined = F.array_join(words, "")
     measured = parts.withColumns({
         "n_words": F.size(words).cast("long"),
@@ -101,7 +100,7 @@ def ledger(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RUL
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeat_words(words).cast("long"),
-    }).drop("__parts")
+    }).drop(held)
     bits = [F.when(F.expr(rule.fails), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, rule in enumerate(rules)]
     failures = bits[0]
     for bit in bits[1:]:

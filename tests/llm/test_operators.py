@@ -27,7 +27,7 @@ def low(text):
 # 1
 
 
-@pytest.mark.parametrize("set_bytes", [1 << 20, 40])
+@pytest.mark.parametrize("set_bytes", [1 << 20, 200])
 def test_decontamination_is_brute_force(spark, docs, set_bytes):
     items = [(1, "brown fox jumps over the lazy dog again and again today"), (2, "LINE one-here"), (3, None), (4, "..."), (None, "word"), (5, "line one here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -55,6 +55,21 @@ def test_decontamination_is_brute_force(spark, docs, set_bytes):
     assert decontaminate.decontaminate(docs, bench, remove="spans").count() == docs.count()
 
 
+def test_set_of_windows_stays_small(spark):
+    rng = np.random.default_rng(4)
+    items = [(str(i), " ".join(f"w{x}" for x in rng.integers(0, 10**5, 300))) for i in range(300)]
+    held = decontaminate.GramSet(iter(items), 10)
+    assert held.nbytes() < decontaminate.BYTES_EACH * sum(len(t) for _, t in items)
+
+
+def test_columns_of_any_name_pass(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a", "b", "c", "d")], "doc_id long, text string, part string, contamination string, __part string, parts string")
+    bench = spark.createDataFrame([(1, "two"), (2, "four five")], "item_id long, text string")
+    clean = decontaminate.decontaminate(docs, bench, remove="spans", set_bytes=20)
+    assert clean.columns == docs.columns and [*clean.first()] == [1, "one  three", "a", "b", "c", "d"]
+    assert quality.ledger(docs).first().parts == "d"
+
+
 def test_decontamination_of_nothing(spark, docs, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, bench).where("contamination.n_hit > 0").count() == 0
@@ -241,10 +256,11 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge_urls(pages, ()).collect()} == {"allow"}
 
 
-def test_bloom_filter_loses_nothing(spark):
+@pytest.mark.parametrize("max_blocks", [1 << 16, 4])
+def test_bloom_filter_loses_nothing(spark, max_blocks):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = keys.where("key like 'k1%'")
-    passed = urls.possible(keys, listed)
+    passed = urls.possible(keys, listed, max_blocks)
     assert passed.join(listed, "key").count() == listed.count() and passed.count() < listed.count() + 300
 
 
