@@ -1,8 +1,13 @@
-"""WARC: pages become records of whole-file gzip streams, which a normaliser inflates once and rewrites with each record as a gzip member of its own and a sidecar offset index.
+"""WARC: pages become records of whole-file gzip archives; a normaliser inflates each such file once, as a stream, and rewrites it with each record as a gzip member of its own and a sidecar offset index.
 
-Payloads that are equal are stored once: the response is that of the largest page id, the others are revisit records
-that refer to it. A null payload counts as empty. Rows that repeat the response's page id are responses too; a null page
-id is less than any other, and refers like any other; among null ids alone all are responses. Extra columns are left out.
+Archives of any writer can be normalised: records are parsed by the standard, with header names in any case, white space
+around values, and lines that go on in the next. Payloads that are equal are stored once: the response is that of the
+largest page id, the others are revisit records that refer to it. Only digests that several pages have are joined, so
+payloads don't move.
+
+A null payload counts as empty. Rows that repeat the response's page id are responses too; a null page id is less than any
+other, and refers like any other; among null ids alone all are responses. A payload of any length makes one record, held
+whole by its task. An empty table makes no archive; extra columns, of any name, are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spheric.llm.common import new_folder, stored
+from spheric.llm.common import new_folder, remove_folder, shipped, sized, stored
 
 #: Uncompressed bytes in an archive, more or less: a record is never cut.
 ARCHIVE_BYTES = 32 << 20
@@ -50,20 +55,35 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def parse_record(raw: io.BufferedIOBase) -> tuple[dict[str, str], bytes, bytes] | None:
-    """The next record's headers, block and raw bytes; None at the end."""
+    """The next record's headers by small name, its block and its raw bytes; None at the end."""
     head = []
-    while line := raw.readline():
+    while (line := raw.readline()) in (b"\r\n", b"\n"):
+        pass  # some writers leave more lines than two between records
+    while line:
         head.append(line)
-        if line == b"\r\n":
+        if line in (b"\r\n", b"\n"):
             break
+        line = raw.readline()
     if not head:
         return None
-    if not head[0].startswith(b"WARC/") or head[-1] != b"\r\n":
+    if not head[0].startswith(b"WARC/") or head[-1] not in (b"\r\n", b"\n"):
         raise ValueError("not a WARC record")
-    fields = dict(line.rstrip(b"\r\n").decode().split(": ", 1) for line in head[1:-1])
-    block = raw.read(int(fields["Content-Length"]))
+    fields: dict[str, str] = {}
+    name = ""
+    for line in head[1:-1]:
+        text = line.rstrip(b"\r\n").decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and name:
+            fields[name] += " " + text.strip()
+            continue
+        name, colon, value = text.partition(":")
+        if not colon:
+            raise ValueError(f"not a header of a WARC record: {text[:80]}")
+        name = name.strip().lower()
+        fields[name] = value.strip()
+    size = int(fields["content-length"])
+    block = raw.read(size)
     end = raw.read(4)
-    if end != END or len(block) != int(fields["Content-Length"]):
+    if end != END or len(block) != size:
         raise ValueError("a WARC record is cut short")
     return fields, block, b"".join(head) + block + end
 
@@ -78,62 +98,83 @@ def normalise(monolith: io.BufferedIOBase, out, level: int = 6) -> list[tuple[st
             pack = zlib.compressobj(level, zlib.DEFLATED, 31)
             member = pack.compress(raw) + pack.flush()
             out.write(member)
-            index.append((fields["WARC-Record-ID"], at, len(member), len(raw)))
+            index.append((fields.get("warc-record-id", ""), at, len(member), len(raw)))
             at += len(member)
     return index
 
 
 def classify(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Rows (page_id, url, packed, payload_bytes, payload_digest, refers_to): of equal payloads of least_bytes or more all but the largest id refer to it.
+    """Rows (page_id, url, payload, refers_to): of equal payloads of least_bytes or more all but the largest id refer to it.
 
-    packed is the payload behind zlib, to move less. The join's side of ids has one row for each payload, so a payload
-    that very many pages share is only skew of the other side, which adaptive execution splits.
+    What is joined has one row for each payload that several rows have, and so a payload that very many pages share is no skew while it is broadcast, and else the other side's, which adaptive execution splits.
     """
-
-    @F.arrow_udf("packed binary, payload_bytes long, payload_digest string")
-    def measure(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in parts:
-            rows = [x.encode() if x else b"" for x in column.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([zlib.compress(x, 6) for x in rows], pa.binary()), pa.array([len(x) for x in rows], pa.int64()), pa.array([digest_of(x) for x in rows], pa.string())], ["packed", "payload_bytes", "payload_digest"])
-
-    measured = stored(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), measure(F.col(payload).cast("string")).alias("m")).select("page_id", "url", "m.*"), "payloads")
-    largest = measured.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("largest"))
-    joined = measured.join(largest.hint("shuffle_hash"), measured["payload_digest"] == largest["d"], "left")
-    return joined.select("page_id", "url", "packed", "payload_bytes", "payload_digest", F.when(F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
+    digest = F.unhex(F.sha1(F.col("payload").cast("binary")))
+    equal = rows.where(F.octet_length("payload") >= least_bytes).groupBy(digest.alias("d")).agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "largest")
+    joined = rows.withColumn("d", digest).join(sized(stored(equal, "equal-payloads")), "d", "left")
+    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES, **columns) -> DataFrame:
-    """Writes classify's rows to archives in folder, each normalised with its index beside it; returns rows (archive, records)."""
+def write_monoliths(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES, **columns) -> DataFrame:
+    """Writes classify's rows to folder as gzip files of one member each; returns rows (archive)."""
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        plain, size, records = io.BytesIO(), 0, 0
-        stream = gzip.GzipFile(fileobj=plain, mode="wb", compresslevel=1, mtime=0)
+        held, stream, name, size = None, None, "", 0
 
         def put() -> pa.RecordBatch:
             stream.close()
-            plain.seek(0)
-            name = f"{uuid.uuid4().hex}.warc.gz"  # a task that runs twice leaves a file that no list names
-            with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
-                index = normalise(plain, out)
-            with fs.open_output_stream(f"{root}/{name}.idx", compression=None) as out:
-                out.write("".join(json.dumps(x) + "\n" for x in index).encode())
-            return pa.RecordBatch.from_pydict({"archive": [name], "records": [len(index)]})
+            held.close()
+            return pa.RecordBatch.from_pydict({"archive": [name]})
 
         for part in parts:
-            for page_id, url, packed, length, digest, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                record = record_bytes(page_id, url, b"" if refers_to is not None else zlib.decompress(packed), digest, length, refers_to)
-                if records and size + len(record) > archive_bytes:
-                    yield put()
-                    plain, size, records = io.BytesIO(), 0, 0
-                    stream = gzip.GzipFile(fileobj=plain, mode="wb", compresslevel=1, mtime=0)
-                stream.write(record)
-                size, records = size + len(record), records + 1
-        if records:
+            for i in range(0, part.num_rows, 256):
+                for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in part.slice(i, 256).columns), strict=True):
+                    raw = payload.encode()
+                    record = record_bytes(page_id, url, b"" if refers_to is not None else raw, digest_of(raw), len(raw), refers_to)
+                    if stream is not None and size + len(record) > archive_bytes:
+                        yield put()
+                        stream = None
+                    if stream is None:
+                        name, size = f"{uuid.uuid4().hex}.warc.gz", 0  # a task that runs twice leaves a file that no list names
+                        held = fs.open_output_stream(f"{root}/{name}", compression=None)
+                        stream = gzip.GzipFile(fileobj=held, mode="wb", compresslevel=1, mtime=0)
+                    stream.write(record)
+                    size += len(record)
+        if stream is not None:
             yield put()
 
-    return stored(classify(pages, **columns).mapInArrow(write, "archive string, records long"), "archives")
+    shipped(pages.sparkSession)
+    return stored(classify(pages, **columns).mapInArrow(write, "archive string"), "monoliths")
+
+
+def normalise_archives(archives: DataFrame, source: str, folder: str) -> DataFrame:
+    """Normalises the archives (archive), files of source, to folder, each with its index beside it; returns rows (archive, records). One task inflates a file, as a stream."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (fs, root), (to, where) = FileSystem.from_uri(source), FileSystem.from_uri(folder)
+        to.create_dir(where, recursive=True)
+        for part in parts:
+            for name in part.column(0).to_pylist():
+                made = f"{uuid.uuid4().hex}.warc.gz"
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as monolith, to.open_output_stream(f"{where}/{made}", compression=None) as out:
+                    index = normalise(monolith, out)
+                with to.open_output_stream(f"{where}/{made}.idx", compression=None) as out:
+                    out.write("".join(json.dumps(x) + "\n" for x in index).encode())
+                yield pa.RecordBatch.from_pydict({"archive": [made], "records": [len(index)]})
+
+    n = int(shipped(archives.sparkSession).conf.get("spark.sql.shuffle.partitions"))
+    return stored(archives.select("archive").repartition(n, "archive").mapInArrow(work, "archive string, records long"), "archives")
+
+
+def write_archives(pages: DataFrame, folder: str, **options) -> DataFrame:
+    """Writes classify's rows to whole-file archives and normalises these to folder; returns rows (archive, records). The whole files go once all are normalised."""
+    spark = pages.sparkSession
+    source = new_folder(spark, "monoliths")
+    made = normalise_archives(write_monoliths(pages, source, **options), source, folder)
+    remove_folder(spark, source)
+    return made
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -154,18 +195,18 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                     for i, (_, at, packed, _) in enumerate(index):
                         file.seek(at)
                         fields, block, _ = parse_record(io.BytesIO(zlib.decompress(file.read(packed), 31)))
-                        response = fields["WARC-Type"] == "response"
+                        response = fields["warc-type"] == "response"
                         payload = block[block.index(END) + 4 :] if response else None
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
                         if response and digest_of(payload) != digest:
                             raise ValueError(f"record {i} of {name} isn't what its digest says")
-                        rows.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], payload, len(payload) if response else int(fields["X-Payload-Length"]), digest, number(fields.get("WARC-Refers-To"))))
+                        rows.append((number(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], payload, len(payload) if response else int(fields["x-payload-length"]), digest, number(fields.get("warc-refers-to"))))
                         if len(rows) == 500 or i + 1 == len(index):
                             kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64())
                             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"])
                             rows = []
 
-    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(shipped(archives.sparkSession).conf.get("spark.sql.shuffle.partitions"))
     dealt = archives.select("archive").repartition(n, "archive")
     return dealt.mapInArrow(read, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 

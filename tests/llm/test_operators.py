@@ -137,6 +137,24 @@ def test_normaliser_splits_members():
         warc.parse_record(io.BytesIO(records[3][:-9]))
 
 
+def test_archives_of_other_writers_are_normalised(spark, tmp_path):
+    import gzip
+
+    odd = b"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID: <urn:page:7>\r\nX-Note: one\r\n  two\r\ncontent-length:5\r\n\r\nhello\r\n\r\n"
+    for i in range(2):
+        (tmp_path / f"{i}.warc.gz").write_bytes(gzip.compress(odd * 3 + b"\r\n" + odd))
+    names = spark.createDataFrame([("0.warc.gz",), ("1.warc.gz",)], "archive string")
+    made = warc.normalise_archives(names, f"file://{tmp_path}", f"file://{tmp_path}/out").collect()
+    assert [r.records for r in made] == [4, 4]
+    raw = (tmp_path / "out" / made[0].archive).read_bytes()
+    import json
+
+    for line in (tmp_path / "out" / f"{made[0].archive}.idx").read_text().splitlines():
+        name, at, n, size = json.loads(line)
+        fields, block, _ = warc.parse_record(io.BytesIO(zlib.decompress(raw[at : at + n], 31)))
+        assert (name, fields["x-note"], block) == ("<urn:page:7>", "one two", b"hello")
+
+
 # 5
 
 
