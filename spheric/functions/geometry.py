@@ -124,6 +124,17 @@ def haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return f"(2 * asin(sqrt(least(1.0e0, greatest(0.0e0, {h})))))"
 
 
+def to_vector(lon: str, lat: str) -> tuple[str, str, str]:
+    """The unit vector of a point in degrees."""
+    return f"(cos(radians({lat})) * cos(radians({lon})))", f"(cos(radians({lat})) * sin(radians({lon})))", f"sin(radians({lat}))"
+
+
+def from_vector(x: str, y: str, z: str) -> tuple[str, str]:
+    """Longitude, from 0 to 360, and latitude of a vector of any length, in degrees."""
+    size = f"sqrt({x} * {x} + {y} * {y} + {z} * {z})"
+    return fmod(f"degrees(atan2({y}, {x}))", "360.0e0"), f"degrees(asin(least(1.0e0, greatest(-1.0e0, {z} / {size}))))"
+
+
 def gnomonic(lon: str, lat: str, lon0: str, lat0: str) -> tuple[str, str]:
     """Tangent-plane coordinates around (lon0, lat0). Points beyond 90 degrees mirror, as no hemisphere is asked for."""
     c = f"(sin({lat0}) * sin({lat}) + cos({lat0}) * cos({lat}) * cos({lon} - {lon0}))"

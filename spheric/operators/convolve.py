@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spheric.functions import geometry as g
 from spheric.operators.interpolate import weights
 from spheric.operators.multires import nest_cells
+from spheric.sources.geometry_store import cached
 
 GAUGES = ("phi", "cosmo", "projected_ref", "two_ref")
 
@@ -75,6 +76,48 @@ def bound(stencil_: str, present: str, kernel: int) -> str:
     return f"(select g, out_id, p, in_id, case when {total} = 0 then (case when {slot} = 1 then 1.0e0 else 0.0e0 end) else w / {total} end as w from ({own} union all {put}) _b)"
 
 
+def initial_kernel(n_gauges: int, n_in: int, n_out: int, points: int, seed: int = 0) -> str:
+    """g, c, o, p, w: weights even within sqrt(6 / (n_out * points)) of 0, the same for a seed in every engine."""
+    bound_ = math.sqrt(6 / (n_out * points))
+    k = f"(((g * {n_in} + c) * {n_out} + o) * {points} + p + 1)"
+    spread = lambda x: g.mod(f"{x} * 48271 + 11", 2147483647)
+    return f"(select g, c, o, p, {bound_!r} * (2 * {spread(spread(spread(f'({k} + {seed} * 7919)')))} / 2147483647.0e0 - 1) as w from range(0, {n_gauges}) as _g(g) cross join range(0, {n_in}) as _c(c) cross join range(0, {n_out}) as _o(o) cross join range(0, {points}) as _p(p))"
+
+
+def for_gauges(kernel: str, n_gauges: int) -> str:
+    """A kernel (c, o, p, w) for every gauge."""
+    return f"(select q.g, k.c, k.o, k.p, k.w from {kernel} k cross join range(0, {n_gauges}) as q(g))"
+
+
+def check_kernel(kernel: DataFrame, n_gauges: int, n_in: int, n_out: int, points: int) -> DataFrame:
+    """The kernel (g, c, o, p, w), or ValueError unless it has each weight of that shape once."""
+    inside = F.col("g").between(0, n_gauges - 1) & F.col("c").between(0, n_in - 1) & F.col("o").between(0, n_out - 1) & F.col("p").between(0, points - 1) & F.col("w").isNotNull()
+    row = kernel.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(inside, 1)).alias("own"), F.countDistinct("g", "c", "o", "p").alias("names")).first()
+    if not row.n == row.own == row.names == n_gauges * n_in * n_out * points:
+        raise ValueError(f"a kernel of shape ({n_gauges}, {n_in}, {n_out}, {points}) has each weight once; this has {row.n} rows, {row.own} of them within the shape")
+    return kernel
+
+
+def check_refs(gauge: str, refs: tuple[tuple[float, float, float], ...]) -> None:
+    """ValueError unless the reference directions are as many as the gauge needs, of some length, and two not along one line."""
+    need = {"projected_ref": 1, "two_ref": 2}.get(gauge, 0)
+    if len(refs) < need or any(math.hypot(*r) < 1e-12 for r in refs[:need]):
+        raise ValueError(f"{gauge} needs {need} reference directions of some length")
+
+
+def direction(lon: float, lat: float) -> tuple[float, float, float]:
+    """The reference direction of a place in degrees, where the gauge is singular."""
+    a, b = math.radians(lon), math.radians(lat)
+    return math.cos(b) * math.cos(a), math.cos(b) * math.sin(a), math.sin(b)
+
+
+def stored_stencil(spark, folder: str | None, nside: int, kernel: int = 3, n_gauges: int = 1, gauge: str = "phi", ids: DataFrame | None = None) -> DataFrame:
+    """The stencil as a table kept in folder under its cache_key; None keeps nothing. ids (cell_id) are the cells it is made for."""
+    key = "stencil-" + cache_key(nside, kernel, n_gauges, gauge, ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0)), ids)
+    given = {} if ids is None else {"ids": ids}
+    return cached(lambda: spark.sql(f"select * from {stencil(nside, kernel, n_gauges, gauge, '{ids}' if given else '')} _s", **given), spark, folder, key)
+
+
 def forward(stencil_: str, sky: str, kernel: str, bias: str, n_out: int) -> str:
     """map_id, channel, cell_id, value from maps (map_id, channel, cell_id, value): channel is g * n_out + o."""
     read = f"select s.map_id, s.channel as c, m.g, m.out_id, m.p, sum(m.w * s.value) as v from {stencil_} m join {sky} s on m.in_id = s.cell_id group by s.map_id, s.channel, m.g, m.out_id, m.p"

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spheric import ship
 from spheric.functions import geometry as g
 from spheric.plans.sql import SPARK, each
 
@@ -49,7 +50,7 @@ def legendre_table(rings: DataFrame, lmax: int) -> DataFrame:
                 l = np.arange(m, lmax + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids[own], len(l))), pa.array(np.repeat(l, own.sum())), pa.array(np.full(y.size, m)), pa.array(y.ravel())], ["ring_id", "l", "m", "y"])
 
-    spark = rings.sparkSession
+    spark = ship(rings.sparkSession)
     keyed = rings.select("ring_id", "z").crossJoin(spark.range(lmax + 1).withColumnRenamed("id", "m"))  # lmax + 1 rows by rings of one grid
     return keyed.repartition(max(1, min(lmax + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))), "m").mapInArrow(table, "ring_id long, l long, m long, y double")
 
@@ -91,6 +92,22 @@ def filtered(alm: str, lcut: int) -> str:
     return f"(select map_id, l, m, re, im from {alm} _a where l < {lcut})"
 
 
+def weighted(alm: str, weights: str) -> str:
+    """Each mode times the weight (l, w) of its l; modes without one drop out."""
+    return f"(select a.map_id, a.l, a.m, a.re * f.w as re, a.im * f.w as im from {alm} a join {weights} f on a.l = f.l)"
+
+
+def flat_index(l: str, m: str, lmax: int) -> str:
+    """The place of (l, m) in a flat list of modes, by m and then l."""
+    return f"({g.div(f'{m} * ({2 * lmax + 3} - {m})', 2)} + {l} - {m})"
+
+
+def flat_modes(lmax: int, dialect: str = SPARK) -> str:
+    """i, l, m of a flat list of modes."""
+    lm = f"select l, m from (select m from range(0, {lmax + 1}) as _m(m)) _r {each('m', lmax, 'l', dialect)}"
+    return f"(select {flat_index('l', 'm', lmax)} as i, l, m from ({lm}) _x)"
+
+
 def bandpowers(cl: str, bins: str) -> str:
     """map_id, band, power: sums of cl by the binning (band, l, w)."""
     return f"(select c.map_id, b.band, sum(b.w * c.cl) as power from {cl} c join {bins} b on c.l = b.l group by c.map_id, b.band)"
@@ -132,6 +149,24 @@ def wigner_y(s: int, l: int, m: int, theta: np.ndarray) -> np.ndarray:
     return spin_legendre(s, m, l, theta)[-1] if l >= abs(m) else np.zeros_like(theta)
 
 
+def spin_closed(rings: str, lmax: int, spin: int, dialect: str = SPARK) -> str:
+    """The table of spin_table by the finite sum, for lmax up to 10."""
+    f = lambda x: f"cast(factorial(cast({x} as int)) as double)"
+
+    def values(s: int) -> str:
+        n = -s
+        terms = f"select ring_id, z, l, m, k from {rings} _r {each(0, lmax, 'l', dialect)} {each(0, 'l', 'm', dialect)} {each(0, '2 * l', 'k', dialect)}"
+        own = f"select * from ({terms}) _t where l >= {abs(s)} and l + {n} - k >= 0 and l - k - m >= 0 and k - {n} + m >= 0"
+        half = lambda p, x: f"power(sqrt((1 {x} z) / 2), {p})"
+        term = f"(case when {g.mod(f'k + m - {n}', 2)} = 0 then 1 else -1 end) * {half(f'2 * l - 2 * k + {n} - m', '+')} * {half(f'2 * k - {n} + m', '-')} / ({f(f'l + {n} - k')} * {f('k')} * {f('l - k - m')} * {f(f'k - {n} + m')})"
+        norm = f"{(-1) ** s} * sqrt((2 * l + 1) / (4 * {g.PI}) * {f('l + m')} * {f('l - m')} * {f(f'l + {n}')} * {f(f'l - {n}')})".replace("- -", "+ ").replace("+ -", "- ")
+        text = f"(select ring_id, l, m, {norm} * sum({term}) as y from ({own}) _o group by ring_id, z, l, m)"
+        return text.replace("- -", "+ ").replace("+ -", "- ")
+
+    zeros = f"select ring_id, l, m, 0.0e0 as yp, 0.0e0 as ym from {rings} _r {each(0, spin - 1, 'l', dialect)} {each(0, 'l', 'm', dialect)} union all" if spin else ""
+    return f"({zeros} select a.ring_id, a.l, a.m, a.y as yp, b.y as ym from {values(spin)} a join {values(-spin)} b on a.ring_id = b.ring_id and a.l = b.l and a.m = b.m)"
+
+
 def spin_table(rings: DataFrame, lmax: int, spin: int) -> DataFrame:
     """Rows (ring_id, l, m, yp, ym) for +spin and -spin. Spins 0, 1 and 2."""
     if spin not in (0, 1, 2):
@@ -147,14 +182,14 @@ def spin_table(rings: DataFrame, lmax: int, spin: int) -> DataFrame:
                 l = np.repeat(np.arange(m, lmax + 1), own.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids[own], len(yp))), pa.array(l), pa.array(np.full(yp.size, m)), pa.array(yp.ravel()), pa.array(ym.ravel())], ["ring_id", "l", "m", "yp", "ym"])
 
-    spark = rings.sparkSession
+    spark = ship(rings.sparkSession)
     keyed = rings.select("ring_id", "z").crossJoin(spark.range(lmax + 1).withColumnRenamed("id", "m"))
     return keyed.repartition(max(1, lmax + 1), "m").mapInArrow(table, "ring_id long, l long, m long, yp double, ym double")
 
 
-def map2alm_spin(samples: str, table: str, lmax: int, spin: int, weight: str = "1.0e0") -> str:
+def map2alm_spin(samples: str, table: str, lmax: int, spin: int, weight: str = "1.0e0", dialect: str = SPARK) -> str:
     """map_id, l, m, e_re, e_im, b_re, b_im from samples (map_id, ring_id, phi, q, u): E = -(a+ + (-1)^s a-)/2, B = -(a+ - (-1)^s a-)/2i."""
-    fq, fu = ring_dft(samples, lmax, value="q", weight=weight), ring_dft(samples, lmax, value="u", weight=weight)
+    fq, fu = ring_dft(samples, lmax, dialect, value="q", weight=weight), ring_dft(samples, lmax, dialect, value="u", weight=weight)
     joined = f"select q.map_id, q.ring_id, q.m, q.re - u.im as pr, q.im + u.re as pi, q.re + u.im as mr, q.im - u.re as mi from {fq} q join {fu} u on q.map_id = u.map_id and q.ring_id = u.ring_id and q.m = u.m"
     sign = -1 if spin % 2 else 1
     sums = f"select f.map_id, y.l, y.m, sum(f.pr * y.yp) as pr, sum(f.pi * y.yp) as pi, {sign} * sum(f.mr * y.ym) as mr, {sign} * sum(f.mi * y.ym) as mi from ({joined}) f join {table} y on f.ring_id = y.ring_id and f.m = y.m group by f.map_id, y.l, y.m"
@@ -194,4 +229,21 @@ def ring_fft(samples: DataFrame, mmax: int) -> DataFrame:
         same = lambda c: pa.array(np.full(mmax + 1, table.column(c)[0].as_py()))
         return pa.table({"map_id": same("map_id"), "ring_id": same("ring_id"), "m": pa.array(m), "re": pa.array(f.real), "im": pa.array(f.imag)})
 
+    ship(samples.sparkSession)
     return samples.select("map_id", "ring_id", "phi", "value").groupBy("map_id", "ring_id").applyInArrow(transform, "map_id long, ring_id long, m long, re double, im double")
+
+
+def ring_synthesis(modes: DataFrame, rings: DataFrame) -> DataFrame:
+    """map_id, cell_id, value of RING cells from their rings' modes (map_id, ring_id, m, re, im), m >= 0, of a real map, one inverse transform for each ring (ring_id, n_r, phi0, start); modes beyond the ring's cells fold onto those they can't be told from."""
+
+    def transform(table: pa.Table) -> pa.Table:
+        m, n = table.column("m").to_numpy(), table.column("n_r")[0].as_py()
+        c = (table.column("re").to_numpy() + 1j * table.column("im").to_numpy()) * np.exp(1j * m * table.column("phi0")[0].as_py())
+        folded = np.zeros(n, complex)
+        np.add.at(folded, m % n, c)
+        np.add.at(folded, -m[m > 0] % n, c[m > 0].conj())
+        value = np.fft.ifft(folded).real * n
+        return pa.table({"map_id": pa.array(np.full(n, table.column("map_id")[0].as_py())), "cell_id": pa.array(table.column("start")[0].as_py() + np.arange(n)), "value": pa.array(value)})
+
+    ship(modes.sparkSession)
+    return modes.join(rings, "ring_id").groupBy("map_id", "ring_id").applyInArrow(transform, "map_id long, cell_id long, value double")

@@ -5,17 +5,27 @@ from __future__ import annotations
 from spheric.functions import geometry as g
 from spheric.operators.grid import box, neighbours
 from spheric.operators.multires import nest_cells
+from spheric.plans.sql import SPARK
 
 
-def weights(points: str, nside: int) -> str:
+def holders(points: str, nside: int, ellipsoid: str = "sphere") -> str:
+    """pt, lon, lat (radians) and centre, the NESTED cell that holds a point (pt, lon, lat) in degrees."""
+    z = f"sin({g.authalic('radians(lat)')})" if ellipsoid == "WGS84" else "sin(radians(lat))"
+    return f"(select pt, lon, lat, nest_cell as centre from {g.located(f'(select pt, radians(lon) as lon, radians(lat) as lat, {z} as z from {points} _p)', 'pt, lon, lat', 'z', 'lon', nside)} _l)"
+
+
+def weights(points: str, nside: int, ellipsoid: str = "sphere", *, touching: str = "", centres: str = "") -> str:
     """Rows (pt, cell_id, w) for points (pt, lon, lat) in degrees: of the NESTED cell that holds a point and its neighbours, the four nearest in the tangent plane, of equal ones those of smaller ids.
 
-    Each direction's share goes by how far the four reach to either side; where they reach nowhere it is a half.
+    Each direction's share goes by how far the four reach to either side; where they reach nowhere it is a half. On WGS84
+    latitudes are geodetic. touching names a table of neighbours (cell_id, other) instead of that of the whole sphere, such as neighbours_of makes for the cells that holders gives, and centres one (cell_id, z, phi) of their centres.
     """
-    held = f"select pt, lon, lat, nest_cell as centre from {g.located(f'(select pt, radians(lon) as lon, radians(lat) as lat, sin(radians(lat)) as z from {points} _p)', 'pt, lon, lat', 'z', 'lon', nside)} _l"
-    own = f"select pt, lon, lat, centre as cell_id from ({held}) _h union all select h.pt, h.lon, h.lat, n.other as cell_id from ({held}) h join {neighbours(nside)} n on h.centre = n.cell_id"
-    x, y = g.gnomonic("c.phi", "asin(c.z)", "o.lon", "o.lat")
-    plane = f"select o.pt, o.cell_id, {x} as x, {y} as y from ({own}) o join {nest_cells(nside)} c on o.cell_id = c.cell_id"
+    if ellipsoid not in ("sphere", "WGS84"):
+        raise ValueError("ellipsoid must be 'sphere' or 'WGS84'")
+    held = holders(points, nside, ellipsoid)
+    own = f"select pt, lon, lat, centre as cell_id from {held} _h union all select h.pt, h.lon, h.lat, n.other as cell_id from {held} h join {touching or neighbours(nside)} n on h.centre = n.cell_id"
+    x, y = g.gnomonic("c.phi", g.geodetic("asin(c.z)") if ellipsoid == "WGS84" else "asin(c.z)", "o.lon", "o.lat")
+    plane = f"select o.pt, o.cell_id, {x} as x, {y} as y from ({own}) o join {centres or nest_cells(nside)} c on o.cell_id = c.cell_id"
     # distances that differ by rounding alone are ties
     ranked = f"select *, row_number() over (partition by pt order by round(x * x + y * y, 12), cell_id) as k from ({plane}) _q"
     reach = "greatest(-min(x) over p, 0.0e0) as lo_x, greatest(max(x) over p, 0.0e0) as hi_x, greatest(-min(y) over p, 0.0e0) as lo_y, greatest(max(y) over p, 0.0e0) as hi_y"
@@ -25,18 +35,21 @@ def weights(points: str, nside: int) -> str:
     return f"(select pt, cell_id, case when sum(w) over p > 1e-15 then w / sum(w) over p else 0.25e0 end as w from ({raw}) _w window p as (partition by pt))"
 
 
-def values(points: str, sky: str, nside: int) -> str:
+def values(points: str, sky: str, nside: int, ellipsoid: str = "sphere", **options) -> str:
     """map_id, pt, value."""
-    return f"(select s.map_id, w.pt, sum(w.w * s.value) as value from {weights(points, nside)} w join {sky} s on w.cell_id = s.cell_id group by s.map_id, w.pt)"
+    return f"(select s.map_id, w.pt, sum(w.w * s.value) as value from {weights(points, nside, ellipsoid, **options)} w join {sky} s on w.cell_id = s.cell_id group by s.map_id, w.pt)"
 
 
-def rectangle(nside: int, west: float, south: float, east: float, north: float) -> str:
-    """Rows (row, col, cell_id, is_pad): the RING cells of a box by ring from the south, each row padded to the longest with the ring's next cells, half to either side, around the circle."""
-    rows = f"select ring_id, min(cell_id) as first, max(cell_id) as last, count(*) as n, dense_rank() over (order by ring_id desc) - 1 as row from {box(nside, west, south, east, north)} _b group by ring_id"
+def rectangle(nside: int, west: float, south: float, east: float, north: float, dialect: str = SPARK, ellipsoid: str = "sphere", compat_padding: bool = False) -> str:
+    """Rows (row, col, cell_id, is_pad): the RING cells of a box by ring from the south, each row padded to the longest with the ring's next cells, half to either side, around the circle. compat_padding puts the western half in falling order and lets ids run on beyond the ring."""
+    rows = f"select ring_id, min(cell_id) as first, max(cell_id) as last, count(*) as n, dense_rank() over (order by ring_id desc) - 1 as row from {box(nside, west, south, east, north, dialect, ellipsoid)} _b group by ring_id"
     wide = f"select *, max(n) over () as width, max(n) over () - n as pad from ({rows}) _r"
     start, size = g.ring_start("ring_id", nside), g.ring_size("ring_id", nside)
     cols = f"select w.row, w.ring_id, w.first, w.n, w.pad, c.col from ({wide}) w join (select col from range(0, {4 * nside}) as _c(col)) c on c.col < w.width"
     at = f"first - {g.div('pad', 2)} + col"
+    if compat_padding:
+        before = g.div("pad", 2)
+        return f"(select row, col, case when col < {before} then first - 1 - col else first + col - {before} end as cell_id, col < {before} or col >= {before} + n as is_pad from ({cols}) _k)"
     return f"(select row, col, {start} + {g.mod(f'{at} - {start}', size)} as cell_id, col < {g.div('pad', 2)} or col >= {g.div('pad', 2)} + n as is_pad from ({cols}) _k)"
 
 

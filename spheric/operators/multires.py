@@ -62,8 +62,14 @@ def apply(stencil: str, sky: str) -> str:
     return f"(select s.map_id, m.out_id as cell_id, sum(m.w * s.value) as value from {stencil} m join {sky} s on m.in_id = s.cell_id group by s.map_id, m.out_id)"
 
 
-def maxpool(sky: str) -> str:
-    """The largest of the children there are."""
+def maxpool(sky: str, fallback: str = "available") -> str:
+    """The largest of the children there are. fallback="first_cell" takes for each that is absent the value of the map's first cell."""
+    if fallback not in ("available", "first_cell"):
+        raise ValueError("fallback must be 'available' or 'first_cell'")
+    if fallback == "first_cell":
+        first = f"select map_id, value from (select map_id, value, row_number() over (partition by map_id order by cell_id) as k from {sky} _s) _k where k = 1"
+        pooled = f"select map_id, {g.div('cell_id', 4)} as cell_id, max(value) as value, count(*) as n from {sky} _s group by map_id, {g.div('cell_id', 4)}"
+        return f"(select p.map_id, p.cell_id, case when p.n < 4 then greatest(p.value, f.value) else p.value end as value from ({pooled}) p join ({first}) f on p.map_id = f.map_id)"
     return f"(select map_id, {g.div('cell_id', 4)} as cell_id, max(value) as value from {sky} _s group by map_id, {g.div('cell_id', 4)})"
 
 

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
+from pyspark.sql import DataFrame
 
 from spheric.functions import geometry as g
 
-QUADRATURES = ("equal_area", "trapeze", "gauss_legendre")
+QUADRATURES = ("equal_area", "uniform", "trapeze", "gauss_legendre")
+#: Slices of colatitude in which rings are looked for.
+SLICES = 4096
 
 
 def build_rings(samples: str, convention: str = "geographic_deg", atol: float = 1e-10) -> str:
-    """sample_id, theta, phi, ring_id (from 1), ring_theta (its first member's), place in ring and in all.
+    """sample_id, theta, phi, ring_id (from 1), ring_theta (its first member's), place in its ring.
 
-    A ring begins where theta is more than atol beyond the last one. The window over all runs over the distinct thetas only.
+    A ring begins where theta is more than atol beyond the last one. Distinct thetas are looked at in SLICES slices of the
+    circle, and only the slices' edges, one row for each, in one window over all.
     """
     theta, phi = g.to_theta_phi("lat", "lon", convention)
     points = f"select sample_id, {theta} as theta, {phi} as phi from {samples} _s"
-    turns = f"select theta, case when theta - lag(theta) over (order by theta) > {atol} then 1 else 0 end as turn from (select distinct theta from ({points}) _p) _t"
-    named = f"select theta, 1 + sum(turn) over (order by theta rows between unbounded preceding and current row) as ring_id from ({turns}) _u"
+    thetas = f"select theta, cast(floor(theta * {SLICES} / {g.PI}) as bigint) as slice from (select distinct theta from ({points}) _p) _t"
+    turns = f"select theta, slice, case when theta - lag(theta) over (partition by slice order by theta) > {atol} then 1 else 0 end as turn from ({thetas}) _h"
+    inner = f"select theta, slice, sum(turn) over (partition by slice order by theta rows between unbounded preceding and current row) as up from ({turns}) _u"
+    edges = f"select slice, case when lo - lag(hi) over (order by slice) > {atol} then 1 else 0 end as fresh, ups from (select slice, min(theta) as lo, max(theta) as hi, max(up) as ups from ({inner}) _i group by slice) _g"
+    begun = f"select slice, 1 + sum(fresh + ups) over (order by slice rows between unbounded preceding and current row) - ups as base from ({edges}) _e"
+    named = f"select n.theta, b.base + n.up as ring_id from ({inner}) n join ({begun}) b on n.slice = b.slice"
     first = f"select theta, ring_id, min(theta) over (partition by ring_id) as ring_theta from ({named}) _n"
     return f"(select sample_id, p.theta, phi, cast(ring_id as bigint) as ring_id, ring_theta, row_number() over (partition by ring_id order by p.theta, phi, sample_id) as place from ({points}) p join ({first}) f on p.theta = f.theta)"
 
@@ -44,9 +54,10 @@ def ring_weights(ringed: str, quadrature: str, n_rings: int = 0) -> str:
 
 
 def sample_weights(ringed: str, quadrature: str = "trapeze", n_rings: int = 0) -> str:
-    """sample_id, ring_id, w. Longitudes weigh 2 pi / n on a uniform ring, else half the gaps on either side around the circle."""
-    if quadrature == "equal_area":
-        return f"(select sample_id, ring_id, 4 * {g.PI} / count(*) over () as w from {ringed} _r)"
+    """sample_id, ring_id, w. equal_area weighs every sample 4 pi / N and uniform 1 / N. Else longitudes weigh 2 pi / n on a uniform ring, else half the gaps on either side around the circle."""
+    if quadrature in ("equal_area", "uniform"):
+        whole = f"4 * {g.PI}" if quadrature == "equal_area" else "1.0e0"
+        return f"(select sample_id, ring_id, {whole} / (select count(*) from {ringed} _n) as w from {ringed} _r)"
     run, ring = "over (partition by ring_id order by phi, sample_id)", "over (partition by ring_id)"
     gaps = (
         f"select sample_id, ring_id, coalesce(lead(phi) {run} - phi, min(phi) {ring} + 2 * {g.PI} - phi) as up, coalesce(phi - lag(phi) {run}, phi - max(phi) {ring} + 2 * {g.PI}) as down from {ringed} _r"
@@ -55,6 +66,16 @@ def sample_weights(ringed: str, quadrature: str = "trapeze", n_rings: int = 0) -
     return f"(select sample_id, p.ring_id, {w} as w from ({gaps}) p join {uniformity(ringed)} u on p.ring_id = u.ring_id join {ring_weights(ringed, quadrature, n_rings)} t on p.ring_id = t.ring_id)"
 
 
+def check_nodes(rings: DataFrame, n_rings: int, tolerance: float = 1e-6) -> None:
+    """Raises ValueError unless the rings (ring_id, ring_theta) are n_rings, as gauss_legendre needs; warns where they are off its nodes by more than tolerance in cos theta."""
+    found = np.sort([r[0] for r in rings.select("ring_id", "ring_theta").distinct().select("ring_theta").limit(n_rings + 1).collect()])
+    if len(found) != n_rings:
+        raise ValueError(f"the grid has not {n_rings} rings")
+    off = np.abs(np.sort(np.cos(found)) - np.polynomial.legendre.leggauss(n_rings)[0]).max()
+    if off > tolerance:
+        warnings.warn(f"rings are off the Gauss-Legendre nodes by up to {off:.1e} in cos(theta)", UserWarning, stacklevel=2)
+
+
 def grid_summary(ringed: str, lmax: int = 24) -> str:
     cost = f"case when uniform then n_r * log2(greatest(2, n_r)) else n_r * {lmax + 1} end"
     return (

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spheric import ship
+
 
 def triangulate(points: np.ndarray) -> np.ndarray:
     """Delaunay triangles by adding points one by one (Bowyer 1981, Watson 1981): triangles whose circle holds a new point give way to those of their rim with it."""
@@ -68,4 +70,5 @@ def resample_linear(samples: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
         k = np.arange(n_rows * n_cols)
         return pa.table({"map_id": pa.array(np.full(len(k), table.column("map_id")[0].as_py())), "row": pa.array(k // n_cols), "col": pa.array(k % n_cols), "value": pa.array(out)})
 
+    ship(samples.sparkSession)
     return samples.select("map_id", "lat", "lon", "value").dropna().groupBy("map_id").applyInArrow(work, "map_id long, row long, col long, value double")

@@ -15,6 +15,34 @@ def fft2(image: str, n_rows: int, n_cols: int, dialect: str = SPARK) -> str:
     return f"(select img_id, ky, kx, sum(re * cos{y} + im * sin{y}) as re, sum(im * cos{y} - re * sin{y}) as im from ({rows}) _r {each(0, n_rows - 1, 'ky', dialect)} group by img_id, ky, kx)"
 
 
+def ifft2(spectrum: str, n_rows: int, n_cols: int, dialect: str = SPARK) -> str:
+    """img_id, row, col, value: the image whose transform is (img_id, ky, kx, re, im), as fft2 makes it; its real part."""
+    x, y = f"(2 * {g.PI} * kx * col / {n_cols})", f"(2 * {g.PI} * ky * row / {n_rows})"
+    cols = f"select img_id, row, kx, sum(re * cos{y} - im * sin{y}) as re, sum(im * cos{y} + re * sin{y}) as im from {spectrum} _s {each(0, n_rows - 1, 'row', dialect)} group by img_id, row, kx"
+    return f"(select img_id, row, col, sum(re * cos{x} - im * sin{x}) / {n_rows * n_cols}.0e0 as value from ({cols}) _c {each(0, n_cols - 1, 'col', dialect)} group by img_id, row, col)"
+
+
+def unwrapped(samples: str) -> str:
+    """The samples (img_id, sample_id, lat, lon, value) with lon in degrees and without jumps along each parallel, in the order of ids. Longitudes of a map of 2 pi at most in size are radians."""
+    degrees = f"select s.img_id, s.sample_id, s.lat, case when m.top > 2 * {g.PI} then s.lon else degrees(s.lon) end as lon, s.value from {samples} s join (select img_id, max(abs(lon)) as top from {samples} _m group by img_id) m on s.img_id = m.img_id"
+    steps = f"select *, lon - lag(lon) over (partition by img_id, lat order by sample_id) as step from ({degrees}) _d"
+    turns = f"select *, case when abs(step) > 180 then -360 * floor((step + 180) / 360.0e0) else 0.0e0 end as turn from ({steps}) _t"
+    return f"(select img_id, sample_id, lat, lon + sum(turn) over (partition by img_id, lat order by sample_id rows between unbounded preceding and current row) as lon, value from ({turns}) _u)"
+
+
+def lonlat_image(samples: str) -> str:
+    """img_id, row, col, value of samples on parallels: rows by latitude, columns by longitude without jumps."""
+    rows = f"select img_id, lat, row_number() over (partition by img_id order by lat) - 1 as row from (select distinct img_id, lat from {samples} _l) _r"
+    cols = f"select img_id, lat, value, row_number() over (partition by img_id, lat order by lon, sample_id) - 1 as col from {unwrapped(samples)} _c"
+    return f"(select c.img_id, r.row, c.col, c.value from ({cols}) c join ({rows}) r on c.img_id = r.img_id and c.lat = r.lat)"
+
+
+def edge_shifts(points: str, n_cols: int) -> str:
+    """row, s: how far each row (row, col, lon) begins east of the westmost one, in columns of row 0."""
+    west = f"select row, min(lon) as west from {points} _p group by row"
+    return f"(select w.row, {n_cols} * (w.west - m.least) / r.width as s from ({west}) w cross join (select min(west) as least from ({west}) _w) m cross join (select max(lon) - min(lon) as width from {points} _q where row = 0) r)"
+
+
 def row_shift(image: str, shifts: str) -> str:
     """Each row moved by its shift s (row, s), between 0 and 1: (1 - s) d + s times the value before, the first of a row before itself."""
     before = "coalesce(lag(value) over (partition by img_id, i.row order by col), value)"
@@ -67,8 +95,9 @@ def flat_sky(samples: str, nside: int, lmax: int, dialect: str = SPARK) -> str:
     from spheric.operators.harmonics import ring_dft
 
     f = ring_dft(samples, lmax, dialect)
-    ranked = f"select map_id, ring_id, m, re, im, dense_rank() over (partition by map_id order by ring_id) - 1 as j from {f} _f"
-    sized = f"select *, max(j) over (partition by map_id) + 1 as ny from ({ranked}) _r"
+    # ranks come from the rings there are, a row for each, not from all their modes
+    rings = f"select map_id, ring_id, row_number() over (partition by map_id order by ring_id) - 1 as j, count(*) over (partition by map_id) as ny from (select distinct map_id, ring_id from {samples} _d) _k"
+    sized = f"select f.map_id, f.ring_id, f.m, f.re, f.im, r.j, r.ny from {f} f join ({rings}) r on f.map_id = r.map_id and f.ring_id = r.ring_id"
     angle = f"(2 * {g.PI} * k * j / ny)"
     across = f"select map_id, m, k, ny, sum(re * cos{angle} + im * sin{angle}) as re, sum(im * cos{angle} - re * sin{angle}) as im from ({sized}) _s {each(0, 'ny - 1', 'k', dialect)} group by map_id, m, k, ny"
     scale = f"{4 * 3.141592653589793 / (12 * nside * nside)!r}"

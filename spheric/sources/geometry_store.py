@@ -36,6 +36,13 @@ def cached(build, spark: SparkSession, folder: str | None, key: str) -> DataFram
     return spark.read.parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: what builds on it is planned from there."""
+    path = f"{folder_of(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def geometry(spark: SparkSession, text: str, build=None) -> DataFrame:
     """The table that text makes, from the store. The text says all that it depends on."""
     key = "geometry-" + hashlib.sha256(text.encode()).hexdigest()[:24]

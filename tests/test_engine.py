@@ -177,7 +177,7 @@ def test_gauges():
 
 
 def test_rectangle_rows_are_full():
-    r = rows(ip.rectangle(8, 20, -10, 60, 50))
+    r = rows(ip.rectangle(8, 20, -10, 60, 50, DUCK))
     assert r.groupby("row").size().nunique() == 1 and not r[["row", "col"]].duplicated().any()
 
 
