@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from spheric.llm.common import fresh, new_folder, remove_folder
 
-TARGET_BYTES, FANOUT, LEAST_BYTES = 128 << 20, 4, 64 << 10
+TARGET_BYTES, FANOUT, LEAST_BYTES = 128 << 20, 4, 4 << 20
 MANIFEST = "file string, bytes long, rows long, tier int, merged boolean"
 #: Parts in which the query's documents arrive.
 ARRIVALS = 4
