@@ -220,7 +220,7 @@ MONTHLY = f"(select {g.mod('o_custkey', 48)} as cell_id, cast(extract(year from
 STANDARD = f"(select cell_id, y, mon, (value - avg(value) over p) / nullif(stddev_pop(value) over p, 0) as value from {MONTHLY} _m window p as (partition by cell_id, mon))"
 register("monthly_standardise", lambda d: select(f"cell_id, y, mon, {R('value')}", STANDARD))
 LAGGED = f"(select cell_id, y, mon, value, lead(value) over (partition by cell_id order by y, mon) - value as delta from {MONTHLY} _m)"
-register("lag_delta", lambda d: select(f"cell_id, y, mon, {R('delta')}", LAGGED))
+register("lag_delta", lambda d: select(f"cell_id, y, mon, {rounded('delta', 9)} as delta", LAGGED))
 register("masked_rmse_corr", lambda d: select("cell_id, " + rounded("sqrt(avg(delta * delta))") + " as rmse, " + rounded("corr(value, delta)") + " as r", f"(select * from {LAGGED} _l where delta is not null)") + " group by cell_id")
 
 
