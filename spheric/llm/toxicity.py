@@ -15,7 +15,7 @@ their share (0 without any). An empty table gives an empty result; further colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,15 +112,48 @@ def words_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order], np.searchsorted(word[order], np.arange(np.count_nonzero(chars == 32)))
 
 
-def train(texts: list[str], toxic: list[int], *, epochs: int = 20, warm: int = 6, rate: float = 0.5, calm: float = 1e-6, seed: int = 7) -> Model:
+class Bags:
+    """The n-grams of texts, all in one array that grows, and where each text's and each word's begin: what training holds of its sample."""
+
+    def __init__(self) -> None:
+        self.flat, self.used, self.words = np.empty(1 << 20, np.int32), 0, []
+
+    def add(self, text: str) -> None:
+        bucket, bounds = words_of(text)
+        if self.used + len(bucket) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used // 2 + 2 * len(bucket), np.int32)])
+        self.flat[self.used : self.used + len(bucket)] = bucket
+        self.words.append((self.used, bounds.astype(np.int32)))
+        self.used += len(bucket)
+
+    def named(self) -> np.ndarray:
+        """The buckets there are; from now on n-grams are places among these."""
+        seen = np.zeros(1 << BUCKET_BITS, bool)
+        for i in range(0, self.used, CHUNK):
+            seen[self.flat[i : min(i + CHUNK, self.used)]] = True
+        place = np.cumsum(seen, dtype=np.int32) - 1
+        for i in range(0, self.used, CHUNK):
+            own = slice(i, min(i + CHUNK, self.used))
+            self.flat[own] = place[self.flat[own]]
+        return np.flatnonzero(seen)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        begin, bounds = self.words[i]
+        return self.flat[begin : begin + bounds[-1]], bounds
+
+
+def train(texts: Iterable[str] | Bags, toxic: list[int], *, epochs: int = 20, warm: int = 6, rate: float = 0.5, calm: float = 1e-6, seed: int = 7) -> Model:
     """Stochastic descent over windows, with a step for each bucket that shrinks as its gradients add up. For warm turns the windows are any, then each text's worst, and of texts that aren't toxic another as well."""
     labels = np.array(toxic, np.int64)
     if not 0 < labels.sum() < len(labels):
         share = min(max(labels.mean() if len(labels) else 0.0, 1e-9), 1 - 1e-9)
         return Model(float(np.log(share / (1 - share))), np.zeros(1 << BUCKET_BITS, np.float32))
-    bags = [words_of(text) for text in texts]
-    known = np.unique(np.concatenate([b for b, _ in bags]))
-    bags = [(np.searchsorted(known, b).astype(np.int32), bounds) for b, bounds in bags]
+    bags = texts
+    if not isinstance(texts, Bags):
+        bags = Bags()
+        for text in texts:
+            bags.add(text)
+    known = bags.named()
     rng = np.random.default_rng(seed)
     vectors = rng.standard_normal((len(known), WIDTH), np.float32) * np.float32(0.1 / WIDTH)
     weights = rng.normal(0, 1 / np.sqrt(WIDTH), (WIDTH, 2)).astype(np.float32)
@@ -129,7 +162,7 @@ def train(texts: list[str], toxic: list[int], *, epochs: int = 20, warm: int = 6
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         numbers = vectors @ (weights[:, 1] - weights[:, 0])
-        for i in rng.permutation(len(bags)):
+        for i in rng.permutation(len(labels)).tolist():
             bucket, bounds = bags[i]
             n = len(bounds) - 1
             size = min(WINDOW, n)
@@ -180,16 +213,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     some = [usable.where(f"y = {y}").orderBy(F.xxhash64("i"), "i").limit(sample_rows * (2 - y)) for y in (0, 1)]
     few = F.broadcast(some[0].union(some[1]))
     found = rows.join(few, "i").groupBy("i", "y").agg(F.min("t").alias("t")).orderBy(F.xxhash64("i"), "i").toLocalIterator()
-    texts: list[str] = []
-    toxic: list[int] = []
-    held = 0
+    bags, toxic, held = Bags(), [], 0
     for r in found:
         held += len(r.t.encode())
-        if held > total_bytes:
-            break
-        texts.append(r.t)
-        toxic.append(r.y)
-    return train(texts, toxic)
+        if held <= total_bytes:
+            bags.add(r.t)
+            toxic.append(r.y)
+    return train(bags, toxic)
 
 
 def toxicity(model: Model, spark) -> object:

@@ -93,6 +93,42 @@ def test_toxicity_learns_misspellings(spark):
     assert toxicity.fit(docs, labels.where("false")).bias < -5
 
 
+def test_scores_are_brute_force(docs):
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(-0.25, rng.normal(size=1 << toxicity.BUCKET_BITS).astype(np.float32))
+    texts = [r.text or "" for r in docs.collect()] + ["x " * 200_000 + "y", "z" * 700_000]
+    for chunk in (1 << 18, 64):
+        toxicity.CHUNK, kept = chunk, toxicity.CHUNK
+        some = texts if chunk > 64 else [t for t in texts if len(t) < 30_000]
+        try:
+            data = "".join(some).encode()
+            at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in some])])
+            got = toxicity.scores(model, np.frombuffer(data, np.uint8), at)
+        finally:
+            toxicity.CHUNK = kept
+        for text, score in zip(some, got.tolist(), strict=True):
+            assert score == pytest.approx(slow_score(model, text), abs=1e-6)
+
+
+def slow_score(model, text):
+    """Word by word, n-gram by n-gram."""
+    def bucket(gram):
+        code = int.from_bytes(gram, "little") * 0x9E3779B97F4A7C15 % 2**64
+        return code >> (64 - toxicity.BUCKET_BITS)
+
+    known, means = {}, []
+    for word in re.sub(rb"[^0-9a-z\x80-\xff]+", b" ", low(text).encode()).split():
+        if word not in known:
+            w = b" " + word + b" "
+            known[word] = [float(model.table[bucket(w[i : i + n])]) for n in toxicity.GRAMS for i in range(len(w) - n + 1)]
+        means.append(known[word])
+    if not means:
+        return 1 / (1 + np.exp(-model.bias))
+    k = min(toxicity.WINDOW, len(means))
+    best = max(sum(map(sum, means[i : i + k])) / max(1, sum(map(len, means[i : i + k]))) for i in range(len(means) - k + 1))
+    return 1 / (1 + np.exp(-(model.bias + best)))
+
+
 # 3
 
 
