@@ -203,3 +203,64 @@ def test_euler_number_of_the_sphere(euler, want):
 
 def test_phase_shift():
     assert db.sql("select " + ", ".join(sp.phase_shift("0.25e0", "1.0e0"))).fetchall()[0] == pytest.approx((0, 1))
+
+
+def test_boxes_are_brute_force():
+    c = complete(8)
+    lon, lat = np.degrees(c.phi % (2 * np.pi)), np.degrees(np.arcsin(c.z))
+    for w, s, e, n in ((20, -10, 50, 35), (300, -90, 40, -50), (0, 60, 360, 90), (-20, 0, 400, 5), (359.9, -5, 0.1, 5)):
+        want = set(c.cell_id[(lat >= s) & (lat <= n) & (((lon >= w) & (lon <= e)) if w <= e else ((lon >= w) | (lon <= e)))])
+        assert set(rows(grid.box(8, w, s, e, n, DUCK)).cell_id) == want
+    assert len(rows(grid.box(8, 0, -90, 360, 90, DUCK, "WGS84"))) == 768
+
+
+def test_rings_of_scattered_samples():
+    rng = np.random.default_rng(3)
+    lat = np.concatenate([np.repeat(rng.uniform(-80, 80, 40), 5), [89.0, -89.0], 12 + 1e-9 * np.arange(4)])
+    values = ", ".join(f"({i}, {x!r}, {float(i)!r})" for i, x in enumerate(lat.tolist()))
+    got = rows(quadrature.build_rings(f"(select * from (values {values}) v(sample_id, lat, lon))", atol=1e-8)).sort_values("sample_id")
+    theta = np.pi / 2 - np.radians(lat)
+    order = np.argsort(theta, kind="stable")
+    want = np.empty(len(lat), int)
+    want[order] = 1 + np.cumsum(np.concatenate([[0], np.diff(theta[order]) > 1e-8]))
+    assert (got.ring_id.to_numpy() == want).all()
+
+
+def test_inverse_transform_and_unwrapping():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(5, 6))
+    text = "(select 0 as img_id, * from (values " + ", ".join(f"({i}, {j}, {float(v)!r})" for (i, j), v in np.ndenumerate(a)) + ") v(row, col, value))"
+    back = rows(sp.ifft2(sp.fft2(text, 5, 6, DUCK), 5, 6, DUCK)).sort_values(["row", "col"])
+    assert np.allclose(back.value.to_numpy().reshape(5, 6), a)
+    lon = [350.0, 355, 0, 5, 10, 352, 357, 2, 7, 12]
+    smp = ", ".join(f"(0, {i}, {i // 5}.0, {x!r}, {float(i)!r})" for i, x in enumerate(lon))
+    smp = f"(select * from (values {smp}) v(img_id, sample_id, lat, lon, value))"
+    un = rows(sp.unwrapped(smp)).sort_values("sample_id").lon.to_numpy().reshape(2, 5)
+    assert np.allclose(np.diff(un, axis=1), 5)
+    img = rows(sp.lonlat_image(smp)).sort_values(["row", "col"]).value.to_numpy()
+    assert (img == np.arange(10)).all()
+
+
+def test_flat_index_counts_modes():
+    m = rows(h.flat_modes(7, DUCK)).sort_values("i")
+    assert list(m.i) == list(range(36)) and list(zip(m.m, m.l, strict=True)) == [(a, b) for a in range(8) for b in range(a, 8)]
+
+
+def test_spin_sums_are_the_recurrence():
+    theta = rows(grid.rings(2)).sort_values("ring_id").theta.to_numpy()
+    for s in (0, 1, 2):
+        t = rows(h.spin_closed(grid.rings(2), 4, s, DUCK)).sort_values("ring_id")
+        for (l, m), own in t.groupby(["l", "m"]):
+            assert np.allclose(own.yp, h.wigner_y(s, l, m, theta), atol=1e-12) and np.allclose(own.ym, h.wigner_y(-s, l, m, theta), atol=1e-12)
+
+
+def test_vectors_and_fallbacks():
+    x, y, z = g.to_vector("200.0e0", "-35.0e0")
+    assert db.sql("select " + ", ".join(g.from_vector(x, y, z))).fetchall()[0] == pytest.approx((200, -35))
+    sky = "(select * from (values (0, 4, 9.0), (0, 5, 1.0), (0, 8, 2.0), (0, 9, 3.0), (0, 10, 4.0), (0, 11, 5.0)) v(map_id, cell_id, value))"
+    assert dict(rows(multires.maxpool(sky, "first_cell"))[["cell_id", "value"]].values.tolist()) == {1: 9, 2: 5}
+    k = rows(cv.initial_kernel(2, 3, 4, 9, 1))
+    assert len(k) == 216 and k.w.nunique() > 200 and k.w.abs().max() <= (6 / 36) ** 0.5 and abs(k.w.mean()) < 0.05
+    with pytest.raises(ValueError):
+        cv.check_refs("two_ref", ((1.0, 0.0, 0.0),))
+    assert cv.singularities("projected_ref", (cv.direction(30, 40),))[0] == pytest.approx((30, 40))

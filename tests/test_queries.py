@@ -1,24 +1,35 @@
-"""A few registered queries against their twins through Spark, and streaming and storage."""
+"""Every registered query with a twin against it through Spark; transforms, tables and streams."""
 
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from spheric import queries
+from spheric.operators import convolve, grid, quadrature
+from spheric.operators import harmonics as h
+from spheric.operators.transform import Transform
+from spheric.sources import adapters as ad
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["sky_from_lineitem", "anafast_auto", "query_disc", "ps_auto", "weights_irregular"])
-def test_query_equals_its_twin(spark, name):
-    db = duckdb.connect()
+@pytest.fixture(scope="module")
+def db():
+    held = duckdb.connect()
     for f in os.listdir(SF):
-        db.sql(f"create view {f[:-8]} as select * from '{SF}/{f}'")
-    df = queries.QUERIES[name](spark, SF)
-    want = db.sql(queries.ORACLES[name])
-    assert df.columns == want.columns
-    assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+        held.sql(f"create view {f[:-8]} as select * from '{SF}/{f}'")
+    return held
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_twin(spark, db, name):
+    df, want = queries.QUERIES[name](spark, SF), db.sql(queries.ORACLES[name])
+    columns = sorted(want.columns)
+    assert sorted(df.columns) == columns
+    got, twin = (sorted(map(str, rows)) for rows in (map(tuple, df.select(*columns).collect()), want.select(*columns).fetchall()))
+    assert got == twin
 
 
 def test_a_turned_field_swaps_e_and_b(spark):
@@ -31,6 +42,61 @@ def test_spin_spectra_are_finite_at_nside_32(spark):
     assert len(spectra) == 3 * 96 and all(0 <= v < 1e3 for (k, _), v in spectra.items() if k != "EB")
 
 
+def test_fast_transforms_are_the_direct_sums(spark):
+    t = Transform(spark, 8)
+    sky = queries.frames(spark, SF, f"select * from {ad.sky('@lineitem@', 8)} _s")
+    alm = t.map2alm(sky)
+    table = spark.sql(f"select * from {ad.samples('{sky}', 8)} _s", sky=sky)
+    direct = spark.sql(f"select * from {h.map2alm('{smp}', '{plm}', 23, weight=f'(4 * pi() / 768)')} _a", smp=table, plm=t.plm)
+    key = lambda df: {(r.l, r.m): complex(r.re, r.im) for r in df.collect()}
+    fast, slow = key(alm), key(direct)
+    assert fast.keys() == slow.keys() and max(abs(fast[k] - slow[k]) for k in slow) < 1e-9
+    back = {r.cell_id: r.value for r in t.alm2map(alm).collect()}
+    want = {r.cell_id: r.value for r in spark.sql(f"select * from {h.alm2map('{a}', '{plm}', grid.cells(8))} _m", a=alm, plm=t.plm).collect()}
+    assert back.keys() == want.keys() and max(abs(back[k] - want[k]) for k in want) < 1e-9
+    assert "nside=8" in repr(t) and "lmax=23" in repr(t)
+    with pytest.raises(ValueError):
+        t.map2alm(sky.union(sky))
+
+
+def test_a_patch_has_the_spectrum_of_the_masked_sky(spark):
+    rng, n = np.random.default_rng(42), 12 * 16 * 16
+    value = rng.normal(size=n)
+    cells = spark.sql(f"select * from {grid.cells(16)} _c").toPandas().sort_values("cell_id")
+    dot = np.cos(np.pi / 2.5) * cells.z + np.sin(np.pi / 2.5) * np.sqrt(1 - cells.z**2) * np.cos(cells.phi - np.pi / 3)
+    inside = np.arccos(np.clip(dot, -1, 1)).to_numpy() < np.radians(20)
+    rows = lambda keep, v: spark.createDataFrame([(0, int(i), float(v[i])) for i in np.flatnonzero(keep)], "map_id long, cell_id long, value double")
+    t = Transform(spark, 16)
+    patch = {r.l: r.cl for r in t.anafast(rows(inside, value)).collect()}
+    whole = {r.l: r.cl for r in t.anafast(rows(np.ones(n, bool), value * inside)).collect()}
+    assert max(abs(patch[l] / whole[l] - 1) for l in range(2, 48)) < 1e-4
+
+
+@pytest.mark.parametrize("nside", [1, 2, 8])
+def test_neighbours_of_some_cells(spark, nside):
+    ids = spark.range(12 * nside * nside).withColumnRenamed("id", "cell_id")
+    some = {(r.cell_id, r.other) for r in grid.neighbours_of(ids.where("cell_id % 3 = 0"), nside).collect()}
+    assert some == {(r.cell_id, r.other) for r in spark.sql(f"select * from {grid.neighbours(nside)} _n where cell_id % 3 = 0").collect()}
+
+
+def test_kernels_stencils_and_nodes_are_checked(spark, tmp_path):
+    kernel = spark.sql(f"select * from {convolve.initial_kernel(1, 2, 2, 9)} _k")
+    assert convolve.check_kernel(kernel, 1, 2, 2, 9) is kernel
+    for wrong in (kernel.where("p < 8"), kernel.union(kernel), kernel.selectExpr("g", "c", "o", "p + 1 as p", "w")):
+        with pytest.raises(ValueError):
+            convolve.check_kernel(wrong, 1, 2, 2, 9)
+    folder = f"file://{tmp_path}/kept"
+    first = convolve.stored_stencil(spark, folder, 2)
+    assert len(os.listdir(tmp_path / "kept")) == 1 and convolve.stored_stencil(spark, folder, 2).count() == first.count() == convolve.stored_stencil(spark, None, 2).count()
+    theta = np.arccos(np.polynomial.legendre.leggauss(4)[0]).tolist()
+    rings = lambda t: spark.createDataFrame(list(enumerate(t)), "ring_id long, ring_theta double")
+    quadrature.check_nodes(rings(theta), 4)
+    with pytest.warns(UserWarning):
+        quadrature.check_nodes(rings([x + 0.01 for x in theta]), 4)
+    with pytest.raises(ValueError):
+        quadrature.check_nodes(rings(theta), 5)
+
+
 def test_windowed_sky_streams(spark, tmp_path):
     from spheric.streaming.sky import windowed_sky
 
