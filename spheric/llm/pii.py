@@ -15,8 +15,6 @@ confident pattern stands before is marked whatever its shape, known kinds apart.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +33,6 @@ WORD, GLUE, CORE, MARK = r"[^\x20\x09-\x0D]+", r"^[^\p{L}0-9\x{E000}]*+", r"[\p{
 KEY_CHARS, SHAPED = 16, 0.9
 #: What a pattern needs to enter the graph and to mark new spans, and how strongly small support is held back.
 ENTRY, CONFIDENCE, SUPPORT, PRIOR, TURNS = 0.3, 0.6, 3, 2.0, 3
-#: Texts are searched for up to so many words before they are taken apart; beyond, all are taken apart.
-ANY_OF = 64
 
 
 def running(sizes: Column, block: int = 256, largest: bool = False) -> Column:
@@ -135,15 +131,6 @@ def is_known() -> Column:
     return F.contains("own", F.lit(MARK))
 
 
-def holding(texts: DataFrame, lefts: list[str]) -> DataFrame:
-    """The texts that may hold one of these words. For more than ANY_OF words all of them are given."""
-    if len(lefts) > ANY_OF:
-        return texts
-    low = F.lower("t")
-    parts = [F.contains(low, F.lit(x)) for x in lefts]
-    return texts.where(F.lit(False) if not parts else functools.reduce(lambda x, y: x | y, parts))
-
-
 def core(word: Column) -> Column:
     """The identifier in a word: from its first letter or digit on, up to a character that identifiers don't have."""
     return F.regexp_extract(word, CORE, 0)
@@ -194,8 +181,7 @@ def new_spans(texts: DataFrame, confidence: float, support: int, turns: int) ->
     lefts = stored(induced.select("left").distinct(), "lefts")
     spread = words_in_context(texts).join(sized(lefts), "left").select(F.explode(patterns()).alias("key")).join(sized(induced.select("key")), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     entered = stored(induced.join(spread, "key").where(F.col("seeds") >= ENTRY * F.col("n")).select("left", "key"), "entered")
-    some = holding(texts, [r.left for r in entered.select("left").distinct().limit(ANY_OF + 1).collect()])
-    words = words_in_context(some).join(sized(entered.select("left").distinct()), "left").select("row", "pos", "word", "own", F.explode(patterns()).alias("key")).join(sized(entered.select("key")), "key")
+    words = words_in_context(texts).join(sized(entered.select("left").distinct()), "left").select("row", "pos", "word", "own", F.explode(patterns()).alias("key")).join(sized(entered.select("key")), "key")
     hits = stored(words.select("row", "pos", is_known().alias("mark"), "key", F.xxhash64(core(F.col("word"))).alias("instance"), seed_score(F.col("word"), is_known()).alias("seed")), "hits")
     edges = stored(hits.groupBy("key", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "edges")
     good = score_patterns(edges, turns=turns).where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("key")
