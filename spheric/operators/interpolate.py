@@ -5,7 +5,7 @@ from __future__ import annotations
 from spheric.functions import geometry as g
 from spheric.operators.grid import box, neighbours
 from spheric.operators.multires import nest_cells
-from spheric.plans.sql import SPARK
+from spheric.plans.sql import SPARK, each
 
 
 def holders(points: str, nside: int, ellipsoid: str = "sphere") -> str:
@@ -59,12 +59,28 @@ def on_rectangle(rect: str, sky: str, nside: int) -> str:
     return f"(select s.map_id, r.row, r.col, r.cell_id, s.value from {rect} r join {ringed} s on r.cell_id = s.ring_cell)"
 
 
-def resample_nearest(samples: str, n_rows: int, n_cols: int) -> str:
-    """row, col, value: a grid between the samples' extremes, each node the nearest sample (id, lat, lon, value), of equal ones the one of smaller id.
+def resample_nearest(samples: str, n_rows: int, n_cols: int, dialect: str = SPARK) -> str:
+    """row, col, value: a grid between the samples' extremes, each node the nearest sample (id, lat, lon, value), of equal ones the one of smaller id. Samples with a null place are left out.
 
-    Every node of this small grid is held against every sample: for patches, not for whole skies.
+    Squares of 2^k grid steps are counted for each k. Where the nine around a node hold a sample at k, its nearest is within those nine at k + 2, and it is held against these alone. The twin holds every node against every sample.
     """
-    bounds = f"select min(lat) as a0, max(lat) as a1, min(lon) as o0, max(lon) as o1 from {samples} _s"
-    node = f"select r.i as row, c.i as col, a0 + (a1 - a0) * r.i / {max(1, n_rows - 1)} as lat, o0 + (o1 - o0) * c.i / {max(1, n_cols - 1)} as lon from ({bounds}) b cross join range(0, {n_rows}) as r(i) cross join range(0, {n_cols}) as c(i)"
-    ranked = f"select n.row, n.col, s.value, row_number() over (partition by n.row, n.col order by round((n.lat - s.lat) * (n.lat - s.lat) + (n.lon - s.lon) * (n.lon - s.lon), 9), s.id) as k from ({node}) n cross join {samples} s"
-    return f"(select row, col, value from ({ranked}) _k where k = 1)"
+    placed = f"(select * from {samples} _s where lat is not null and lon is not null)"
+    bounds = f"select min(lat) as a0, max(lat) as a1, min(lon) as o0, max(lon) as o1 from {placed} _b"
+    node = f"select r.i as row, c.i as col, a0, o0, a1, o1, a0 + (a1 - a0) * r.i / {max(1, n_rows - 1)} as lat, o0 + (o1 - o0) * c.i / {max(1, n_cols - 1)} as lon from ({bounds}) b cross join range(0, {n_rows}) as r(i) cross join range(0, {n_cols}) as c(i) where a0 is not null"
+    apart = "round((n.lat - s.lat) * (n.lat - s.lat) + (n.lon - s.lon) * (n.lon - s.lon), 9)"
+    if dialect != SPARK:
+        ranked = f"select n.row, n.col, s.value, row_number() over (partition by n.row, n.col order by {apart}, s.id) as k from ({node}) n cross join {placed} s"
+        return f"(select row, col, value from ({ranked}) _k where k = 1)"
+    # the last k has squares as wide as the whole, so that nine of them hold everything
+    top = max(n_rows, n_cols).bit_length()
+    step = f"greatest((a1 - a0) / {max(1, n_rows - 1)}, (o1 - o0) / {max(1, n_cols - 1)}, 1e-12)"
+    square = lambda x, low: f"cast(floor(({x} - {low}) / ({step} * power(2.0e0, k))) as bigint)"
+    square_of = f"{square('lat', 'a0')} as y, {square('lon', 'o0')} as x"
+    levels, around = each(0, top, "k"), f"{each(-1, 1, 'dy')} {each(-1, 1, 'dx')}"
+    held = f"select k, {square_of} from (select s.lat, s.lon, b.* from {placed} s cross join ({bounds}) b) _h {levels} group by 1, 2, 3"
+    near = f"select row, col, k, y + dy as y, x + dx as x from (select row, col, k, {square_of} from ({node}) _n {levels}) _l {around}"
+    chosen = f"select row, col, least(min(n.k) + 2, {top}) as k from ({near}) n join ({held}) h on n.k = h.k and n.y = h.y and n.x = h.x group by row, col"
+    asked = f"select row, col, k, lat, lon, y + dy as y, x + dx as x from (select n.row, n.col, c.k, lat, lon, {square_of} from ({node}) n join ({chosen}) c on n.row = c.row and n.col = c.col) _c {around}"
+    told = f"select k, id, value, lat, lon, {square_of} from (select s.id, s.value, s.lat, s.lon, b.* from {placed} s cross join ({bounds}) b) _t {levels}"
+    best = f"select n.row, n.col, min(struct({apart} as d, s.id as id, s.value as value)) as b from ({asked}) n join ({told}) s on n.k = s.k and n.y = s.y and n.x = s.x group by n.row, n.col"
+    return f"(select row, col, b.value as value from ({best}) _v)"

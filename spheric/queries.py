@@ -190,7 +190,7 @@ QUERIES["neighbours_of"] = lambda spark, sf_dir: grid.neighbours_of(spark.sql("s
 ORACLES["neighbours_of"] = f"select cell_id, other from {grid.neighbours(16)} _n where cell_id % 5 = 0 and cell_id < 2000"
 register("rectangle_wgs84", lambda d: select("row, col, cell_id, is_pad", ip.rectangle(16, 20, -10, 60, 50, d, "WGS84", compat_padding=True)))
 SCATTER = f"(select pt as id, lat, lon, value from {ad.event_points(EV)} _e)"
-register("resample_nearest", lambda d: select(f"row, col, {R('value')}", ip.resample_nearest(SCATTER, 12, 16)))
+register("resample_nearest", lambda d: select(f"row, col, {R('value')}", ip.resample_nearest(SCATTER, 12, 16, d)))
 
 # Convolution
 GEOMETRY |= {"stencil_cosmo": cv.stencil(2, 3, 2, "cosmo"), "stencil_projected": cv.stencil(2, 3, 1, "projected_ref"), "stencil_two": cv.stencil(2, 3, 2, "two_ref")}
@@ -306,13 +306,14 @@ def ring_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["ring_fft"] = ring_fft
 
 
-def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resampled(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     """Users' values on a grid through a triangulation."""
     points = frames(spark, sf_dir, f"select cast(0 as bigint) as map_id, lat, lon, value from {SCATTER} _s")
-    return rs.resample_linear(points, 12, 16)
+    return rs.resample(points, 12, 16, method)
 
 
-QUERIES["resample_linear"] = resampled
+for _method in ("linear", "cubic"):
+    QUERIES[f"resample_{_method}"] = lambda spark, sf_dir, method=_method: resampled(spark, sf_dir, method)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

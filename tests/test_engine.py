@@ -195,6 +195,44 @@ def test_triangulation_is_exact_on_planes():
     assert far[0] == pytest.approx(p[:, 0].mean())
 
 
+def test_cubic_resampling_is_smooth_and_follows_curves():
+    from spheric.operators.resample import CORNERS, cubic, linear, slopes, triangulate
+
+    rng = np.random.default_rng(5)
+    p = rng.uniform(size=(300, 2))
+    f = lambda x: np.sin(4 * x[:, 0]) * np.cos(3 * x[:, 1])
+    q = rng.uniform(0.2, 0.8, (500, 2))
+    plane = lambda x: 3 * x[:, 0] - 2 * x[:, 1] + 1
+    assert np.allclose(cubic(p, plane(p), q), plane(q)) and np.allclose(cubic(p, f(p), p), f(p))
+    assert abs(cubic(p, f(p), q) - f(q)).max() < abs(linear(p, f(p), q) - f(q)).max() / 3
+    # no kinks across edges: the steps of the slope along a line shrink with the steps of the line
+    kink = []
+    for n in (20001, 80001):
+        x = np.linspace(0.3, 0.7, n)
+        kink.append(abs(np.diff(np.diff(cubic(p, f(p), np.column_stack([x, 0.4 + 0.3 * x]))) / np.diff(x))).max())
+    assert kink[1] < kink[0] / 3
+    t = triangulate(p)
+    i, j = np.unique(np.sort(t[:, CORNERS].reshape(-1, 2), 1), axis=0).T
+    d, rise = p[j] - p[i], f(p)[j] - f(p)[i]
+
+    def bend(g):
+        a, b = (g[i] * d).sum(1), (g[j] * d).sum(1)
+        return ((a * a + a * b + b * b - 3 * rise * (a + b)) * (d * d).sum(1) ** -1.5).sum()
+
+    g = slopes(p, f(p), t)
+    assert all(bend(g + 1e-3 * rng.normal(size=g.shape)) > bend(g) for _ in range(10))
+
+
+@pytest.mark.parametrize("method", ["linear", "cubic"])
+def test_resampling_of_few_or_lined_up_points_gives_the_mean(method):
+    from spheric.operators.resample import interpolated
+
+    for p in ([[0.0, 0.0]], [[0.0, 0.0], [1.0, 1.0]], [[0.0, 0.0], [0.0, 0.0], [1.0, 1.0], [2.0, 2.0]]):
+        p = np.array(p)
+        v = np.arange(len(p), dtype=float)
+        assert np.allclose(interpolated(p, v, np.array([[0.2, 0.9], [0.5, 0.5]]), method), v.mean())
+
+
 @pytest.mark.parametrize("euler,want", [("triangles", (192 - 4) / 192), ("cliques", 2 / 192)])
 def test_euler_number_of_the_sphere(euler, want):
     sky = "(select 0 as map_id, range as cell_id, 1e6 as value from range(192))"

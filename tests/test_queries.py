@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from spheric import queries
-from spheric.operators import convolve, grid, quadrature
+from spheric.operators import convolve, grid, interpolate, quadrature
 from spheric.operators import harmonics as h
 from spheric.operators.transform import Transform
 from spheric.sources import adapters as ad
@@ -79,6 +79,32 @@ def test_neighbours_of_some_cells(spark, nside):
     assert some == {(r.cell_id, r.other) for r in spark.sql(f"select * from {grid.neighbours(nside)} _n where cell_id % 3 = 0").collect()}
 
 
+@pytest.mark.parametrize("spread", [1.0, 0.01])
+def test_nearest_samples_are_brute_force(spark, spread):
+    """Samples all over, and in two small heaps with wide empty space between; some repeat a place, some have none."""
+    rng = np.random.default_rng(11)
+    at = np.vstack([rng.normal([-20, 10], 20 * spread, (150, 2)), rng.normal([40, 70], 20 * spread, (150, 2))])
+    at[7] = at[150] = at[3]
+    rows = [(i, float(a), float(o), float(i)) for i, (a, o) in enumerate(at)]
+    samples = spark.createDataFrame([*rows, (900, None, 1.0, 1.0)], "id long, lat double, lon double, value double")
+    got = {(r.row, r.col): r.value for r in spark.sql(f"select * from {interpolate.resample_nearest('{s}', 9, 14)} _r", s=samples).collect()}
+    grid_lat, grid_lon = np.linspace(at[:, 0].min(), at[:, 0].max(), 9), np.linspace(at[:, 1].min(), at[:, 1].max(), 14)
+    d = lambda i, j: np.round((at[:, 0] - grid_lat[i]) ** 2 + (at[:, 1] - grid_lon[j]) ** 2, 9)
+    assert got == {(i, j): float(d(i, j).argmin()) for i in range(9) for j in range(14)}
+    assert not spark.sql(f"select * from {interpolate.resample_nearest('{s}', 9, 14)} _r", s=samples.limit(0)).collect()
+
+
+@pytest.mark.parametrize("method", ["linear", "cubic"])
+def test_resampling_takes_maps_apart(spark, method):
+    from spheric.operators.resample import resample
+
+    samples = spark.sql("select m.id as map_id, p.id % 9 * 1.0D as lat, (p.id * 7) % 11 * 1.0D as lon, m.id + p.id % 9 * 2.0D as value from range(2) m cross join range(99) p union all select 0, null, 1.0D, 1.0D")
+    got = resample(samples, 9, 5, method).collect()
+    assert len(got) == 90 and all(abs(r.value - (r.map_id + 2 * r.row)) < 1e-6 for r in got)
+    with pytest.raises(ValueError):
+        resample(samples, 9, 5, "quintic")
+
+
 def test_kernels_stencils_and_nodes_are_checked(spark, tmp_path):
     kernel = spark.sql(f"select * from {convolve.initial_kernel(1, 2, 2, 9)} _k")
     assert convolve.check_kernel(kernel, 1, 2, 2, 9) is kernel
